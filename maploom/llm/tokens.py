@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import string
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -104,11 +106,24 @@ class EliasFano:
 # ---------------------------------------------------------------- tokenising
 
 
+_PUNCTUATION = string.punctuation
+#: The split that a plain word passes whole: letters in one piece, other marks in one piece.
+_PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in for each byte in byte-level vocabularies: itself if it prints, else the next free letter from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in prints else chr(next(rest)) for b in range(256)}
+
+
 class Encoder:
     """Token ids as little-endian numbers, the same as the library gives for the whole text.
 
-    White space separates the tokens of these vocabularies, so words are encoded alone and remembered; the unknown words
-    of a stretch of text are encoded in one call, between two special tokens each.
+    White space separates the tokens of these vocabularies, so words are encoded alone and remembered. A plain word, letters
+    with marks around them, needs no normalising but lower case and splits in at most three, so its letters go to the
+    library's model at once; other unknown words are encoded in one call, between two special tokens each.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER) -> None:
@@ -116,30 +131,65 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         plan = json.loads(self.library.to_str())
-        split = plan["pre_tokenizer"] and plan["pre_tokenizer"].get("pretokenizers", [{}])[0]
+        parts = plan["pre_tokenizer"] and plan["pre_tokenizer"].get("pretokenizers", [{}])
+        split = parts and parts[0]
         if plan["post_processor"] or not split or r"\s" not in str(split.get("pattern")) or split.get("behavior") != "Removed":
             raise ValueError("this tokenizer doesn't drop white space, so words can't be encoded alone")
         special = [t for t in plan["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["single_word"])]
         self.mark, self.mark_id = special[-1]["content"], special[-1]["id"]
         self.names = [t["content"].encode() for t in plan["added_tokens"]]
+        kinds = [n["type"] for n in (plan["normalizer"] or {}).get("normalizers", [])]
+        bytes_ = parts[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        self.plain = plan["model"]["type"] == "BPE" and kinds == ["NFC", "Replace", "Lowercase"] and split["pattern"] == {"Regex": _PLAIN_SPLIT} and split["invert"] and bytes_
+        self.letters = _byte_letters()
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.remember = remember
 
+    def _letters(self, core: str) -> bytes:
+        """The ids of lower-case letters, one piece to the model."""
+        raw = core.encode()
+        if (ids := self.known.get(raw)) is None:
+            text = core if core.isascii() else raw.decode("latin-1").translate(self.letters)
+            ids = self.known[raw] = array(self.code, [t.id for t in self.library.model.tokenize(text)]).tobytes()
+        return ids
+
+    def _around(self, marks: str) -> bytes:
+        if (ids := self.marks.get(marks)) is None:
+            if len(self.marks) > 10_000:
+                self.marks = {"": b""}
+            ids = self.marks[marks] = self._ids(marks).tobytes()
+        return ids
+
+    def _plain(self, word: bytes) -> bytes | None:
+        """The ids of a plain word, else None. Up to U+017F letters are composed and have one lower case, but for the dotted I."""
+        text = word.decode()
+        core = text.strip(_PUNCTUATION)
+        if not core.isalpha() or not core.isascii() and (max(core) > "\u017f" or "\u0130" in core):
+            return None
+        at = len(text) - len(text.lstrip(_PUNCTUATION))
+        head, tail = text[:at], text[at + len(core) :]
+        # An apostrophe before letters may take some of them.
+        return None if "'" in head else self._around(head) + self._letters(core.lower()) + self._around(tail)
+
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type)
 
     def _learn(self, words: set[bytes]) -> None:
         if len(self.known) + len(words) > self.remember:
             self.known = {}
-        plain = []
+        others = []
         for w in words:
-            if any(x in w for x in self.names):
+            if self.plain and (ids := self._plain(w)) is not None:
+                self.known[w] = ids
+            elif any(x in w for x in self.names):
                 self.known[w] = self._ids(w.decode()).tobytes()
             else:
-                plain.append(w)
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
+                others.append(w)
+        for at in range(0, len(others), 2000):
+            part = others[at : at + 2000]
             ids = self._ids(self.mark.join([w.decode() for w in part]))
             cuts_at = np.flatnonzero(ids == self.mark_id)
             if len(cuts_at) != len(part) - 1:
@@ -211,7 +261,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
 
     packed = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(encode, "doc_id long, h long, ids binary")
     packed = packed.withColumn("shard", shard_of(spark, F.col("doc_id"), F.lit(0).cast("long"), at))
-    packed = packed.repartition(len(at) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "ids").select("shard", "doc_id", "ids")
+    packed = packed.repartition(4 * len(at) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "ids").select("shard", "doc_id", "ids")
 
     def finish(file, width, names, nulls, ends):
         parts = [EliasFano.of(np.array(names, np.int64)).pack(), EliasFano.of(np.array([0, *ends], np.int64)).pack()]
