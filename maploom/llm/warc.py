@@ -68,7 +68,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
     full = rows.select("*", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("rep"), F.lit(_ROLE_PAGE).alias("role"))
     every = full.unionByName(marks).withColumn("shard", shard_of(spark, F.col("page_id"), F.xxhash64("digest"), at))
     order = ["shard", F.col("page_id").asc_nulls_first(), "digest", "role", F.col("url").asc_nulls_first()]
-    every = every.repartition(len(at) + 1, "shard").sortWithinPartitions(*order).select("shard", "page_id", "url", "payload", "digest", "rep", "role")
+    every = every.repartition(4 * len(at) + 1, "shard").sortWithinPartitions(*order).select("shard", "page_id", "url", "payload", "digest", "rep", "role")
 
     def run(batches):
         file, key, nth, rep = None, None, 0, None
