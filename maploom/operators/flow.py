@@ -56,34 +56,37 @@ def filled_grid(z: np.ndarray) -> np.ndarray:
 
 
 def fill_depressions(cells: DataFrame, keys: str = "raster", most_cells: int = MOST_CELLS) -> DataFrame:
-    """raster, r, c, filled of the measured cells (raster, r, c, z).
+    """raster, r, c, filled of cells (raster, r, c, z), null where z is; cells without a row inside a raster get one.
 
     The largest raster is counted first: if it fits, each is flooded from its rim in one task; else by fill_by_relaxation.
     """
-    cells = cells.where("z is not null")
     if (cells.groupBy(keys).count().agg(F.max("count")).first()[0] or 0) > most_cells:
         return fill_by_relaxation(cells)
 
     def flood(rows: pd.DataFrame) -> pd.DataFrame:
         grid, r0, c0 = _grid(rows, "z")
-        return _cells(filled_grid(grid), r0, c0, rows[keys].iloc[0], "filled")
+        r, c = np.indices(grid.shape)
+        return pd.DataFrame({keys: rows[keys].iloc[0], "r": (r.ravel() + r0).astype(np.int32), "c": (c.ravel() + c0).astype(np.int32), "filled": filled_grid(grid).ravel()})
 
     kind = cells.schema[keys].dataType.simpleString()
     return cells.groupBy(keys).applyInPandas(flood, f"{keys} {kind}, r int, c int, filled double")
 
 
 def fill_by_relaxation(cells: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """The same surface as the fixed point of w = greatest(z, least neighbour's w), from infinity down, by window passes."""
-    state = cells.where("z is not null").select("raster", "r", "c", F.col("z").cast("double").alias("z"))
+    """The same surface as the fixed point of w = greatest(z, least neighbour's w), from infinity down, by window passes.
+
+    Every cell of a raster needs its row, the unmeasured ones too.
+    """
+    state = cells.select("raster", "r", "c", F.col("z").cast("double").alias("z"))
     rim = F.lit(False)
     for n in AROUND:
         rim = rim | F.col(n).isNull()
-    start = neighbours(state, ["raster"]).select("raster", "r", "c", F.col("z"), F.when(rim, F.col("z")).otherwise(F.lit(float("inf"))).alias("w"))
+    start = neighbours(state, ["raster"]).select("raster", "r", "c", F.col("z"), F.when(rim | F.col("z").isNull(), F.col("z")).otherwise(F.lit(float("inf"))).alias("w"))
     state = stored(start, "fill")
     for _ in range(max_rounds):
         least = F.least(*[F.col(n) for n in AROUND])
         around = neighbours(state.select("raster", "r", "c", F.col("w").alias("z")), ["raster"]).select("raster", "r", "c", F.least(F.col("z"), least).alias("low"))
-        new = stored(state.join(around, ["raster", "r", "c"]).select("raster", "r", "c", "z", F.least("w", F.greatest("z", "low")).alias("w"), F.col("w").alias("was")), "fill")
+        new = stored(state.join(around, ["raster", "r", "c"]).select("raster", "r", "c", "z", F.when(F.col("z").isNotNull(), F.least("w", F.greatest("z", "low"))).alias("w"), F.col("w").alias("was")), "fill")
         if not new.where("w != was").limit(1).count():
             return new.select("raster", "r", "c", F.col("w").alias("filled"))
         state = new.drop("was")
@@ -91,7 +94,10 @@ def fill_by_relaxation(cells: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 
 
 def flow_shares(cells: DataFrame, cell: float, p: float = 1.1, value: str = "filled") -> DataFrame:
-    """raster, r, c, to_r, to_c, share: how a cell's water parts among its lower neighbours, by gradient to the power p and contour length."""
+    """raster, r, c, to_r, to_c, share: how a cell's water parts among its lower neighbours, by gradient to the power p and contour length.
+
+    Every cell needs its row, the unmeasured ones too: diagonal neighbours are found through the cell above or below.
+    """
     rows = neighbours(cells, ["raster"], value)
     weight = lambda n, far, wide: F.when(F.col(n) < F.col("z"), F.pow((F.col("z").cast("double") - F.col(n)) / (far * cell), F.lit(p)) * wide)
     out = F.array(*[F.struct((F.col("r") + dr).alias("to_r"), (F.col("c") + dc).alias("to_c"), weight(n, far, wide).alias("w")) for n, dr, dc, far, wide in DIRECTIONS])
@@ -134,7 +140,7 @@ def accumulate(filled: DataFrame, cell: float, p: float = 1.1, most_cells: int =
 def accumulate_by_rounds(filled: DataFrame, cell: float, p: float = 1.1, max_rounds: int = 100_000) -> DataFrame:
     """The same areas, all cells at once: each round sends what arrived in the last one a step further down, until nothing moves."""
     shares = stored(flow_shares(filled, cell, p), "shares")
-    moving = filled.select("raster", "r", "c", F.lit(cell * cell).alias("area"))
+    moving = filled.where("filled is not null").select("raster", "r", "c", F.lit(cell * cell).alias("area"))
     total = moving
     for _ in range(max_rounds):
         moving = stored(moving.join(shares, ["raster", "r", "c"]).groupBy("raster", F.col("to_r").alias("r"), F.col("to_c").alias("c")).agg(F.sum(F.col("area") * F.col("share")).alias("area")), "moving")
@@ -158,5 +164,5 @@ def wetness(cells: DataFrame, cell: float, min_slope: float = 0.001, p: float =
 
 def water_left(area: DataFrame, filled: DataFrame, cell: float) -> Column:
     """For checks: what reaches cells without a lower neighbour must be all that fell."""
-    sinks = filled.join(flow_shares(filled, cell).select("raster", "r", "c").distinct(), ["raster", "r", "c"], "left_anti")
+    sinks = filled.where("filled is not null").join(flow_shares(filled, cell).select("raster", "r", "c").distinct(), ["raster", "r", "c"], "left_anti")
     return sinks.join(area, ["raster", "r", "c"]).agg(F.sum("area")).first()[0]

@@ -1,7 +1,7 @@
 """3x3 windows over cells (r, c, z), null where nothing was measured.
 
 Two window passes, along rows and then along columns, give every cell its eight neighbours: two shuffles of the
-cells, instead of nine copies of each. A cell without a row, or beyond the edge, is null like an unmeasured one.
+cells, instead of nine copies of each. Cells beyond the edge are null like unmeasured ones; inside, each cell has its row.
 """
 
 from __future__ import annotations

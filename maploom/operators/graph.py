@@ -43,8 +43,8 @@ def ranked(links: DataFrame, keys: Sequence[str] = (), max_rounds: int = 64) ->
         rows = rows.select(*keys, "a", F.col("b").alias("end"), F.lit(1).cast("long").alias("far"), F.least("a", "b").alias("low"))
         most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
         for _ in range(min(max_rounds, max(1, int(most).bit_length() + 1))):
-            on = rows.select(*keys, F.col("a").alias("end"), F.col("end").alias("end2"), F.col("far").alias("far2"), F.col("low").alias("low2"))
-            rows = stored(rows.join(on, [*keys, "end"], "left").select(*keys, "a", F.coalesce("end2", "end").alias("end"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.least("low", "low2").alias("low")), "doubled")
+            on = rows.select(*keys, F.col("a").alias("end"), F.col("end").alias("end2"), F.col("far").alias("far2"), F.col("low").alias("low2"), F.lit(True).alias("on"))
+            rows = stored(rows.join(on, [*keys, "end"], "left").select(*keys, "a", F.when(F.col("on"), F.col("end2")).otherwise(F.col("end")).alias("end"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.least("low", "low2").alias("low")), "doubled")
         return rows
 
     first = doubled(links)

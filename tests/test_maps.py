@@ -74,7 +74,7 @@ def test_filling_and_flow_both_ways(spark):
     cells = table(spark, grid)
     get = lambda df, n: {(r.r, r.c): r[n] for r in df.collect()}
     one, two = get(flow.fill_depressions(cells), "filled"), get(flow.fill_by_relaxation(cells), "filled")
-    assert one == two and all(one[k] >= grid[k] for k in one) and len(one) == grid.size - 1
+    assert one == two and one.pop((5, 7)) is None and all(one[k] >= grid[k] for k in one) and len(one) == grid.size - 1
     inside = [(r, c) for r, c in one if 0 < r < 16 and 0 < c < 18 and abs(r - 5) > 1 and abs(c - 7) > 1]
     for r, c in inside:
         low = min(one[r + i, c + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
