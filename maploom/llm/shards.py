@@ -42,8 +42,13 @@ def cuts(keys: DataFrame, weight: int) -> list[tuple]:
     return out
 
 
+def place_of(at: list[tuple], k: int | None, h: int) -> int:
+    """How many cuts are not above a key; null keys come first."""
+    return bisect.bisect_right(at, (k is not None, k or 0, h))
+
+
 def shard_of(spark: SparkSession, k: Column, h: Column, at: list[tuple]) -> Column:
-    """The shard of a row: how many cuts are not above its key; null keys come first."""
+    """The shard of a row, place_of as a column."""
     if not at:
         return F.lit(0)
     sent = spark.sparkContext.broadcast(at)
@@ -51,7 +56,7 @@ def shard_of(spark: SparkSession, k: Column, h: Column, at: list[tuple]) -> Colu
     @F.arrow_udf("int")
     def find(k: pa.Array, h: pa.Array) -> pa.Array:
         at = sent.value
-        return pa.array([bisect.bisect_right(at, (a is not None, a or 0, b)) for a, b in zip(k.to_pylist(), h.to_pylist(), strict=True)], pa.int32())
+        return pa.array([place_of(at, a, b) for a, b in zip(k.to_pylist(), h.to_pylist(), strict=True)], pa.int32())
 
     return find(k, h)
 

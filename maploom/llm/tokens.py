@@ -15,12 +15,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maploom.llm.shards import MANIFEST, File, commit, cuts, manifest, shard_of
+from maploom.llm.shards import MANIFEST, File, commit, cuts, manifest, place_of
 from maploom.llm.shared import as_bytes, open_fs
 
 MAGIC = b"MLTOKEF1"
-#: Documents of a shard, bytes at which a file is closed, text bytes tokenised together, words remembered by a worker.
-SHARD_DOCS, FILE_BYTES, PIECE, REMEMBER = 8192, 64 << 20, 2 << 20, 500_000
+#: Documents of a shard, bytes at which a file is closed, text bytes tokenised together, words remembered by a worker,
+#: and pieces of text after which it begins to remember anew.
+SHARD_DOCS, FILE_BYTES, PIECE, REMEMBER, ANEW = 8192, 64 << 20, 1 << 20, 300_000, 256
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -118,6 +119,15 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(next(rest)) for b in range(256)}
 
 
+class _Words(dict):
+    """Ids by word: those remembered, and for the piece at hand those in passing."""
+
+    passing: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.passing[word]
+
+
 class Encoder:
     """Token ids as little-endian numbers, the same as the library gives for the whole text.
 
@@ -144,7 +154,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
-        self.known: dict[bytes, bytes] = {}
+        self.known, self.pieces = _Words(), 0
         self.marks: dict[str, bytes] = {"": b""}
         self.remember = remember
 
@@ -153,7 +163,7 @@ class Encoder:
         raw = core.encode()
         if (ids := self.known.get(raw)) is None:
             text = core if core.isascii() else raw.decode("latin-1").translate(self.letters)
-            ids = self.known[raw] = array(self.code, [t.id for t in self.library.model.tokenize(text)]).tobytes()
+            ids = array(self.code, [t.id for t in self.library.model.tokenize(text)]).tobytes()
         return ids
 
     def _around(self, marks: str) -> bytes:
@@ -177,15 +187,14 @@ class Encoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type)
 
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > self.remember:
-            self.known = {}
+    def _learned(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
         others = []
         for w in words:
-            if self.plain and (ids := self._plain(w)) is not None:
-                self.known[w] = ids
-            elif any(x in w for x in self.names):
-                self.known[w] = self._ids(w.decode()).tobytes()
+            if any(x in w for x in self.names):
+                out[w] = self._ids(w.decode()).tobytes()
+            elif self.plain and (ids := self._plain(w)) is not None:
+                out[w] = ids
             else:
                 others.append(w)
         for at in range(0, len(others), 2000):
@@ -194,8 +203,9 @@ class Encoder:
             cuts_at = np.flatnonzero(ids == self.mark_id)
             if len(cuts_at) != len(part) - 1:
                 raise ValueError("the tokenizer lost a separator")
-            for w, x in zip(part, np.split(ids, cuts_at), strict=True):
-                self.known[w] = x.tobytes() if w is part[0] else x[1:].tobytes()
+            for i, (w, x) in enumerate(zip(part, np.split(ids, cuts_at), strict=True)):
+                out[w] = x.tobytes() if i == 0 else x[1:].tobytes()
+        return out
 
     def _pieces(self, text: bytes):
         at = 0
@@ -222,14 +232,18 @@ class Encoder:
         return out + self._encode(part)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
+        """Frequent words come early, so the first REMEMBER words are kept; later ones serve this piece alone."""
         words = [t.split() for t in texts]
+        self.pieces += 1
+        if self.pieces % ANEW == 0:
+            self.known = _Words()
         known = self.known
-        new = {w for ws in words for w in ws if w not in known}
-        if new:
-            if len(known) + len(new) > self.remember:
-                new = {w for ws in words for w in ws}
-            self._learn(new)
-        get = self.known.__getitem__
+        new = self._learned({w for ws in words for w in ws if w not in known})
+        if len(known) < self.remember:
+            known.update(new)
+        else:
+            known.passing = new
+        get = known.__getitem__
         return [b"".join(map(get, ws)) for ws in words]
 
 
@@ -248,19 +262,23 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     give the same files. A null or empty text has end_id alone. Ids take two bytes each where the vocabulary
     allows. Documents travel to their shard as compressed ids, not as text. No documents give an empty manifest.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     at = cuts(rows.select(F.col("doc_id").alias("k"), F.lit(0).cast("long").alias("h"), F.lit(1).alias("w")), shard_docs)
 
+    width = Encoder(tokenizer).type.itemsize
+
     def encode(batches):
         tool, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], tool.type).tobytes()
         for batch in batches:
-            ids = tool.encode(as_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([pack.compress(x + end) for x in ids], pa.binary())], ["doc_id", "h", "ids"])
-
-    packed = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(encode, "doc_id long, h long, ids binary")
-    packed = packed.withColumn("shard", shard_of(spark, F.col("doc_id"), F.lit(0).cast("long"), at))
+            # A part of a batch at a time, so that ids of long texts don't stand beside all others.
+            for i in range(0, len(batch), 1000):
+                part = batch.slice(i, 1000)
+                ids = pa.array([pack.compress(x + end) for x in tool.encode(as_bytes(part.column(1)))], pa.binary())
+                shard = pa.array([place_of(at, x, 0) for x in part.column(0).to_pylist()], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids, shard], ["doc_id", "h", "ids", "shard"])
+
+    packed = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(encode, "doc_id long, h long, ids binary, shard int")
     packed = packed.repartition(4 * len(at) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "ids").select("shard", "doc_id", "ids")
 
     def finish(file, width, names, nulls, ends):
@@ -273,7 +291,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         return file.row()
 
     def write(batches):
-        width, unpack = encoder(tokenizer).type.itemsize, zstandard.ZstdDecompressor()
+        unpack = zstandard.ZstdDecompressor()
         file, seq = None, 0
         for batch in batches:
             for shard, doc_id, ids in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -324,7 +342,7 @@ class TokenFile:
         w = self.type.itemsize
         return name, np.frombuffer(self.file.read_at((b - a) * w, 8 + a * w), self.type)
 
-    def stretches(self, most: int = 4 << 20):
+    def stretches(self, most: int = 1 << 20):
         """(doc ids, boundaries, ids) of runs of documents, about `most` ids at a time."""
         bounds, w = self.bounds.all(), self.type.itemsize
         names = [None] * self.foot["nulls"] + self.names.all().tolist()
