@@ -12,24 +12,20 @@ _SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8}
 META = "name string, lat double, lon double, alt double, direction double, dir_ref string, taken string, make string, model string, orientation int, problem string"
 
 
+#: JPEG markers without a length, and those at which the headers end.
+_ALONE, _LAST = {0x01, *range(0xD0, 0xD9)}, {0xD9, 0xDA}
+
+
 def exif_start(data: bytes) -> int | None:
     """Where the TIFF part of a JPEG's Exif block begins."""
-    if data[:2] != b"\xff\xd8":
-        return None
-    p = 2
-    while p + 4 <= len(data):
-        if data[p] != 0xFF:
-            p += 1
-            continue
-        marker = data[p + 1]
-        if marker in (0xD8, 0x01) or 0xD0 <= marker <= 0xD7:
-            p += 2
-            continue
-        if marker in (0xDA, 0xD9):
-            return None
-        if marker == 0xE1 and data[p + 4 : p + 8] == b"Exif":
-            return p + 10
-        p += 2 + struct.unpack_from(">H", data, p + 2)[0]
+    at = 2 if data.startswith(b"\xff\xd8") else len(data)
+    while (at := data.find(b"\xff", at)) >= 0 and at + 4 <= len(data):
+        kind = data[at + 1]
+        if kind in _LAST:
+            break
+        if kind == 0xE1 and data.startswith(b"Exif", at + 4):
+            return at + 10
+        at += 2 if kind in _ALONE else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
     return None
 
 
