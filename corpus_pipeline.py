@@ -23,7 +23,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays; of repeated rows with that id, one. Documents without an id can't be named and stay."""
     groups = simhash.similar_components(docs.select("doc_id", "text").where("doc_id is not null"))
     keep = written(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "keep")
-    kept = docs.join(keep, "doc_id")
+    # Which ids stay grows with the documents, so they are never sent to every task, not at small sizes either.
+    kept = docs.join(keep.hint("merge"), "doc_id")
     # Repeated rows are few and go to a task by id; the others are not dealt out again.
     once = kept.where("_rows = 1").select(*docs.columns)
     again = kept.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
