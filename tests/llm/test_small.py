@@ -14,6 +14,7 @@ from maploom.llm import classifier, components, decontaminate, mixing, quality_r
 from maploom.llm.queries import tokenizer_path
 from maploom.llm.shared import new_folder
 from tests.llm import brute
+from tests.llm.test_pipeline import near_groups
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, role int, unit long"
 
@@ -126,6 +127,23 @@ def test_similar_components(spark):
         assert got == {i: truth.index(t) for i, t in enumerate(truth)} | {500: 500, 501: 500}
 
 
+@pytest.mark.parametrize("block", [8192, 4])
+def test_similar_components_at_the_limit(spark, block):
+    """Texts lengthened so that the shingle sets lie at 0.8 or just below, and changed ones on both sides of it, by all pairs."""
+    rng = random.Random(11)
+    texts = []
+    for same, at in [(4, 5), (4, 6), (12, 15), (12, 16), (36, 45), (36, 46), (400, 500), (400, 501), (300, 400), (900, 1125)] * 8:
+        w = words(rng, same + 4, 10**9).split()
+        texts += [" ".join(w), " ".join(w + words(rng, at - same, 10**9).split())]
+    for n in [9, 14, 30, 60, 200] * 6:
+        w = words(rng, n, 10**9).split()
+        for _ in range(4):
+            texts.append(" ".join(x if rng.random() > 0.025 else "changed" for x in w))
+    docs = list(enumerate(texts))
+    got = dict(simhash.similar_components(spark.createDataFrame(docs, "doc_id long, text string"), block=block).collect())
+    assert got == near_groups(docs, 0.8)
+
+
 ITEMS = "item_id long, text string, doc_id long"
 
 
