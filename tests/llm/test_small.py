@@ -200,6 +200,21 @@ def test_quality_base(spark, docs):
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_common_words(spark):
+    """A text labelled as another language and one without common words go; their languages' own texts stay."""
+    rng = random.Random(8)
+    common = {k: v.split() for k, v in quality_rules.COMMON.items()}
+
+    def prose(lang, n=120):
+        return " ".join(rng.choice(common[lang]) if rng.random() < 0.3 else "".join(rng.choices("abcdefghilmnoprstu", k=6)) for _ in range(n))
+
+    data = [(i, prose(lang), lang) for i, lang in enumerate(sorted(common) * 20)]
+    odd = [(1000, prose("de"), "en"), (1001, prose("en"), "fr"), (1002, " ".join("".join(rng.choices("abcdefghilmnoprstu", k=6)) for _ in range(120)), "es")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(data + odd, "doc_id long, text string, lang string")).collect()}
+    assert [d for d, _, _ in data if not got[d].kept] == [] and not any(r.base_failed for r in got.values())
+    assert [got[d].kept for d, _, _ in odd] == [False] * 3 and got[1002].word_distance == 1
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "b", "a b c d e", "\n", " ", "#", "é|", "x\x0by"]), max_size=60))
 def test_quality_measures(parts):
