@@ -489,9 +489,14 @@ def hachure_ticks(spark, sf_dir):
 # ---------------------------------------------------------------- flow
 
 
+def _whole_basin(spark, sf_dir):
+    """The noise raster, as one raster."""
+    return fixtures.noise(spark, sf_dir).select(F.lit(1).alias("raster"), "r", "c", F.round(F.col("z").cast("double"), 4).alias("z"))
+
+
 def _basin(spark, sf_dir):
-    """The first rows of the noise raster, as one raster."""
-    return fixtures.noise(spark, sf_dir).where("r < 40").select(F.lit(1).alias("raster"), "r", "c", F.round(F.col("z").cast("double"), 4).alias("z"))
+    """Its first rows, which the SQL of the queries over them names."""
+    return _whole_basin(spark, sf_dir).where("r < 40")
 
 
 @query("with recursive z as (select vec_id::int r, unnest(range(64))::int c, round(unnest(embedding)::double, 4) z from embeddings where vec_id < 40), f as (select r, c, z from z where r in (0, 39) or c in (0, 63)) select count(*) cells, round(sum(z), 4) rim from f")
@@ -503,7 +508,7 @@ def filled_rim(spark, sf_dir):
 
 @query()
 def depressions_filled(spark, sf_dir):
-    return flow.fill_depressions(_basin(spark, sf_dir)).select("r", "c", r6("filled", "filled"))
+    return flow.fill_depressions(_whole_basin(spark, sf_dir)).select("r", "c", r6("filled", "filled"))
 
 
 @query(with_views("noise") + """ , z as (select r, c, round(z::double, 4) z from noise where r < 40), d as (select a.r, a.c, n.r to_r, n.c to_c, pow((a.z - n.z) / dist, 1.1) * wide w from z a, (values (-1,0,1.0,0.5),(1,0,1.0,0.5),(0,-1,1.0,0.5),(0,1,1.0,0.5),(-1,-1,sqrt(2),0.354),(-1,1,sqrt(2),0.354),(1,-1,sqrt(2),0.354),(1,1,sqrt(2),0.354)) v(dr,dc,dist,wide), z n where n.r = a.r + dr and n.c = a.c + dc and n.z < a.z)
@@ -522,7 +527,30 @@ def flow_total(spark, sf_dir):
 
 @query()
 def wetness_index(spark, sf_dir):
-    return flow.wetness(_basin(spark, sf_dir), 1.0).select("r", "c", F.round("v", 5).alias("v"))
+    return flow.wetness(_whole_basin(spark, sf_dir), 1.0).select("r", "c", F.round("v", 5).alias("v"))
+
+
+@query(with_views("noise") + ", z as (select r, c, round(z::double, 4) z, max(r) over () last from noise) select count(*) cells, round(sum(z), 4) rim from z where r in (0, last) or c in (0, 63)")
+def filled_rim_whole(spark, sf_dir):
+    """filled_rim of the whole raster."""
+    cells = _whole_basin(spark, sf_dir)
+    last = fixtures.frame_of(cells, 64).nrows - 1
+    got = flow.fill_depressions(cells).where(F.col("r").isin(0, last) | F.col("c").isin(0, 63))
+    return got.agg(F.count("*").alias("cells"), F.round(F.sum("filled"), 4).alias("rim"))
+
+
+@query(SQL["flow_shares"].replace(" where r < 40", ""))
+def flow_shares_whole(spark, sf_dir):
+    """flow_shares of the whole raster."""
+    return flow.flow_shares(_whole_basin(spark, sf_dir), 1.0, value="z").select("r", "c", "to_r", "to_c", r6("share", "share"))
+
+
+@query(with_views("noise") + " select count(*) cells, count(*)::double area from noise")
+def flow_total_whole(spark, sf_dir):
+    """flow_total of the whole raster."""
+    filled = stored(flow.fill_depressions(_whole_basin(spark, sf_dir)), "filled")
+    area = stored(flow.accumulate(filled, 1.0), "area")
+    return area.agg(F.count("*").alias("cells")).withColumn("area", F.lit(round(flow.water_left(area, filled, 1.0), 3)))
 
 
 # ---------------------------------------------------------------- strokes

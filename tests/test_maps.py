@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maploom.functions.frames import Frame, Sheet, fit_scale, from_utm, to_utm
 from maploom.functions.colour import refuse_restricted
 from maploom.operators import contours, features, fills, flow, focal, kernels, lettering, paths, regions, symbols
+from maploom.plans import queries
 from maploom.plans.compile import Inputs, compile_drawing, merged
 from maploom.plans.fixtures import synthetic
 from maploom.streaming import arrivals
@@ -206,3 +207,33 @@ def test_arrivals_stream(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     whole = arrivals.by_window(rows)
     assert got.count() > 0 and got.exceptAll(whole).count() == 0
+
+
+def test_flow_queries_take_the_whole_raster(spark, tmp_path):
+    """More rows than forty, against the surface and the areas by plain relaxation and by cells from the highest down."""
+    rng = np.random.default_rng(4)
+    z = np.round(rng.normal(size=(70, 64)), 4)
+    spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(z)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    w = np.full(z.shape, np.inf)
+    w[0], w[-1], w[:, 0], w[:, -1] = z[0], z[-1], z[:, 0], z[:, -1]
+    while True:
+        inner = np.min([w[1 + a : 69 + a, 1 + b : 63 + b] for a, b in near], axis=0)
+        new = w.copy()
+        new[1:-1, 1:-1] = np.minimum(w[1:-1, 1:-1], np.maximum(z[1:-1, 1:-1], inner))
+        if (new == w).all():
+            break
+        w = new
+    got = {(r.r, r.c): r.filled for r in queries.depressions_filled(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({(r, c): w[r, c] for r in range(70) for c in range(64)}, abs=1e-6)
+    area = np.ones(z.shape)
+    for r, c in sorted(np.ndindex(*z.shape), key=lambda x: -w[x]):
+        low = {(r + a, c + b): ((w[r, c] - w[r + a, c + b]) / np.hypot(a, b)) ** 1.1 * (0.354 if a and b else 0.5) for a, b in near if 0 <= r + a < 70 and 0 <= c + b < 64 and w[r + a, c + b] < w[r, c]}
+        for to, part in low.items():
+            area[to] += area[r, c] * part / sum(low.values())
+    p = lambda a, b: z[1 + a : 69 + a, 1 + b : 63 + b]
+    dx = (p(-1, 1) + 2 * p(0, 1) + p(1, 1) - p(-1, -1) - 2 * p(0, -1) - p(1, -1)) / 8
+    dy = (p(1, -1) + 2 * p(1, 0) + p(1, 1) - p(-1, -1) - 2 * p(-1, 0) - p(-1, 1)) / 8
+    v = np.log(area[1:-1, 1:-1] / np.maximum(np.hypot(dx, dy), 0.001))
+    got = {(r.r, r.c): r.v for r in queries.wetness_index(spark, str(tmp_path)).collect()}
+    assert got == pytest.approx({(r + 1, c + 1): v[r, c] for r in range(68) for c in range(62)}, abs=2e-5)
