@@ -223,8 +223,19 @@ def points_at_arc(spark, sf_dir):
  p as (select *, lead(t) over (partition by path_id, i order by t) t1 from c), m as (select path_id, i, t t0, t1, ax + (bx - ax) * (t + t1) / 2 mx, ay + (by_ - ay) * (t + t1) / 2 my from p where t1 - t >= 1e-12)
  select path_id, i, round(t0, 6) t0, round(t1, 6) t1 from m, e where (e.y > my) <> (e.y1 > my) and mx < (e.x1 - e.x) * (my - e.y) / (e.y1 - e.y) + e.x group by path_id, i, t0, t1 having count(*) % 2 = 1""")
 def clip_to_rings(spark, sf_dir):
+    """The paths that its SQL names, a tenth."""
+    return _clipped(spark, sf_dir, fixtures.tracks(spark, sf_dir).where("path_id % 10 = 0"))
+
+
+@query(SQL["clip_to_rings"].replace(" where path_id % 10 = 0", ""))
+def clip_to_rings_whole(spark, sf_dir):
+    """clip_to_rings of all paths."""
+    return _clipped(spark, sf_dir, fixtures.tracks(spark, sf_dir))
+
+
+def _clipped(spark, sf_dir, tracks: DataFrame) -> DataFrame:
     w = Window.partitionBy("path_id").orderBy("i")
-    rows = fixtures.tracks(spark, sf_dir).where("path_id % 10 = 0").select("path_id", "i", (F.col("x") / 15).alias("ax"), (F.col("y") / 3).alias("ay"))
+    rows = tracks.select("path_id", "i", (F.col("x") / 15).alias("ax"), (F.col("y") / 3).alias("ay"))
     seg = rows.select("path_id", "i", "ax", "ay", F.lead("ax").over(w).alias("bx"), F.lead("ay").over(w).alias("by")).where("bx is not null")
     edges = fixtures.rings(spark, sf_dir).select(F.explode(shapes.edges(F.col("pts"))).alias("e")).select(F.col("e.b.x").alias("ex"), F.col("e.b.y").alias("ey"), F.col("e.a.x").alias("cx"), F.col("e.a.y").alias("cy"))
     return paths.clip_segments(stored(seg, "segments"), stored(edges, "edges"), ["path_id", "i"]).select("path_id", "i", r6("t0", "t0"), r6("t1", "t1"))

@@ -237,3 +237,16 @@ def test_flow_queries_take_the_whole_raster(spark, tmp_path):
     v = np.log(area[1:-1, 1:-1] / np.maximum(np.hypot(dx, dy), 0.001))
     got = {(r.r, r.c): r.v for r in queries.wetness_index(spark, str(tmp_path)).collect()}
     assert got == pytest.approx({(r + 1, c + 1): v[r, c] for r in range(68) for c in range(62)}, abs=2e-5)
+
+
+def test_clip_to_rings_whole_clips_every_path(spark, tmp_path):
+    """One horizontal step a path through the first square, on ids that no tenth holds."""
+    import datetime
+
+    at = lambda h: datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(hours=h)
+    events = [(2 * k + j, k, at(h), 15.0) for k in (1, 2, 3, 11, 20) for j, h in enumerate((75, 225))]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(0, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    # From x = 5 to 15 at y = 5: the square ends at x = 10.
+    got = sorted(tuple(r) for r in queries.clip_to_rings_whole(spark, str(tmp_path)).collect())
+    assert got == [(k, 0, 0.0, 0.5) for k in (1, 2, 3, 11, 20)]
