@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,21 +42,33 @@ def cuts(keys: DataFrame, weight: int) -> list[tuple]:
     return out
 
 
-def place_of(at: list[tuple], k: int | None, h: int) -> int:
-    """How many cuts are not above a key; null keys come first."""
-    return bisect.bisect_right(at, (k is not None, k or 0, h))
+def places(at: list[tuple], k: pa.Array, h: pa.Array) -> np.ndarray:
+    """How many cuts are not above each key (k, h); null keys come first."""
+    nulls = sum(not c[0] for c in at)
+    keys, hashes = np.array([c[1] for c in at], np.int64), np.array([c[2] for c in at], np.int64)
+    h = h.to_numpy(zero_copy_only=False)
+    none = k.is_null().to_numpy(zero_copy_only=False)
+    k = k.fill_null(0).to_numpy(zero_copy_only=False)
+    out = nulls + np.searchsorted(keys[nulls:], k, "left")
+    last = nulls + np.searchsorted(keys[nulls:], k, "right")
+    # Keys that are a cut, or several, are placed by their hash among these.
+    for key in np.unique(k[(out < last) & ~none]):
+        rows = np.flatnonzero((k == key) & ~none)
+        a, b = out[rows[0]], last[rows[0]]
+        out[rows] = a + np.searchsorted(hashes[a:b], h[rows], "right")
+    out[none] = np.searchsorted(hashes[:nulls], h[none], "right")
+    return out.astype(np.int32)
 
 
 def shard_of(spark: SparkSession, k: Column, h: Column, at: list[tuple]) -> Column:
-    """The shard of a row, place_of as a column."""
+    """The shard of a row, places as a column."""
     if not at:
         return F.lit(0)
     sent = spark.sparkContext.broadcast(at)
 
     @F.arrow_udf("int")
     def find(k: pa.Array, h: pa.Array) -> pa.Array:
-        at = sent.value
-        return pa.array([place_of(at, a, b) for a, b in zip(k.to_pylist(), h.to_pylist(), strict=True)], pa.int32())
+        return pa.array(places(sent.value, k, h), pa.int32())
 
     return find(k, h)
 

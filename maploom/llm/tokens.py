@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import string
+import re
 import struct
 import zlib
 from array import array
@@ -15,13 +15,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maploom.llm.shards import MANIFEST, File, commit, cuts, manifest, place_of
-from maploom.llm.shared import as_bytes, open_fs
+from maploom.llm.shards import MANIFEST, File, commit, cuts, manifest, places
+from maploom.llm.shared import Cut, as_bytes, cut_words, open_fs
 
 MAGIC = b"MLTOKEF1"
-#: Documents of a shard, bytes at which a file is closed, text bytes tokenised together, words remembered by a worker,
+#: Text bytes of a shard, bytes at which a file is closed, text bytes tokenised together, words remembered by a worker,
 #: and pieces of text after which it begins to remember anew.
-SHARD_DOCS, FILE_BYTES, PIECE, REMEMBER, ANEW = 8192, 64 << 20, 1 << 20, 300_000, 256
+SHARD_BYTES, FILE_BYTES, PIECE, REMEMBER, ANEW = 16 << 20, 64 << 20, 4 << 20, 300_000, 64
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -81,14 +81,22 @@ class EliasFano:
         place = word * 64 + (rest & -rest).bit_length() - 1
         return self.first + ((place - i) << self.low_bits | self._low(i))
 
-    def all(self) -> np.ndarray:
-        if not self.n:
+    def part(self, i: int, j: int) -> np.ndarray:
+        """Numbers i to j - 1, from the nearest recorded place on: only the words that hold them are looked at."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
             return np.empty(0, np.int64)
-        high = (np.flatnonzero(self._bits()) - np.arange(self.n)).astype(np.uint64)
-        out = high << np.uint64(self.low_bits)
+        first, last = i // self.STEP, -(-j // self.STEP)
+        word = int(self.samples[first]) // 64
+        end = int(self.samples[last]) // 64 + 1 if last < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[word:end].view(np.uint8), bitorder="little")) + word * 64
+        skip = i - first * self.STEP + int(np.searchsorted(places, self.samples[first]))
+        out = (places[skip : skip + j - i] - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            part = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits).astype(np.uint64)
-            out |= (part << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            at, stop = i * self.low_bits, j * self.low_bits
+            bits = np.unpackbits(self.low[at // 8 : -(-stop // 8)], bitorder="little")[at % 8 : at % 8 + stop - at]
+            out |= (bits.reshape(j - i, self.low_bits).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return (out + np.uint64(self.first & 0xFFFFFFFFFFFFFFFF)).astype(np.int64)
 
     def pack(self) -> bytes:
@@ -107,9 +115,11 @@ class EliasFano:
 # ---------------------------------------------------------------- tokenising
 
 
-_PUNCTUATION = string.punctuation
 #: The split that a plain word passes whole: letters in one piece, other marks in one piece.
 _PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A plain word: ASCII marks, letters up to U+017F, which are composed and have one lower case but for the dotted I, ASCII
+#: marks. An apostrophe before letters may take some of them, so there is none.
+_PLAIN = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+)([!-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -119,15 +129,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(next(rest)) for b in range(256)}
 
 
-class _Words(dict):
-    """Ids by word: those remembered, and for the piece at hand those in passing."""
-
-    passing: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.passing[word]
-
-
 class Encoder:
     """Token ids as little-endian numbers, the same as the library gives for the whole text.
 
@@ -154,17 +155,10 @@ class Encoder:
         self.letters = _byte_letters()
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
-        self.known, self.pieces = _Words(), 0
+        self.shortest = min(map(len, self.names), default=1 << 30)
+        self.known: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {"": b""}
-        self.remember = remember
-
-    def _letters(self, core: str) -> bytes:
-        """The ids of lower-case letters, one piece to the model."""
-        raw = core.encode()
-        if (ids := self.known.get(raw)) is None:
-            text = core if core.isascii() else raw.decode("latin-1").translate(self.letters)
-            ids = array(self.code, [t.id for t in self.library.model.tokenize(text)]).tobytes()
-        return ids
+        self.pieces, self.remember = 0, remember
 
     def _around(self, marks: str) -> bytes:
         if (ids := self.marks.get(marks)) is None:
@@ -173,38 +167,43 @@ class Encoder:
             ids = self.marks[marks] = self._ids(marks).tobytes()
         return ids
 
-    def _plain(self, word: bytes) -> bytes | None:
-        """The ids of a plain word, else None. Up to U+017F letters are composed and have one lower case, but for the dotted I."""
-        text = word.decode()
-        core = text.strip(_PUNCTUATION)
-        if not core.isalpha() or not core.isascii() and (max(core) > "\u017f" or "\u0130" in core):
-            return None
-        at = len(text) - len(text.lstrip(_PUNCTUATION))
-        head, tail = text[:at], text[at + len(core) :]
-        # An apostrophe before letters may take some of them.
-        return None if "'" in head else self._around(head) + self._letters(core.lower()) + self._around(tail)
-
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type)
 
-    def _learned(self, words: set[bytes]) -> dict[bytes, bytes]:
-        out: dict[bytes, bytes] = {}
-        others = []
-        for w in words:
-            if any(x in w for x in self.names):
-                out[w] = self._ids(w.decode()).tobytes()
-            elif self.plain and (ids := self._plain(w)) is not None:
-                out[w] = ids
+    def _learned(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words that aren't remembered."""
+        out: list[bytes | None] = [None] * len(words)
+        plain, others, cores = [], [], {}
+        known, match = self.known, _PLAIN.fullmatch if self.plain else lambda text: None
+        for i, w in enumerate(words):
+            if len(w) >= self.shortest and any(x in w for x in self.names):
+                out[i] = self._ids(w.decode()).tobytes()
+            elif m := match(w.decode()):
+                head, core, tail = m.groups()
+                core = core.lower()
+                plain.append((i, head, core, tail))
+                cores[core] = None
             else:
-                others.append(w)
+                others.append(i)
+        tokenize, room = self.library.model.tokenize, self.remember - len(known)
+        for core in cores:
+            raw = core.encode()
+            if (ids := known.get(raw)) is None:
+                text = core if core.isascii() else raw.decode("latin-1").translate(self.letters)
+                ids = array(self.code, [t.id for t in tokenize(text)]).tobytes()
+                if room > 0:
+                    known[raw], room = ids, room - 1
+            cores[core] = ids
+        for i, head, core, tail in plain:
+            out[i] = self._around(head) + cores[core] + self._around(tail) if head or tail else cores[core]
         for at in range(0, len(others), 2000):
             part = others[at : at + 2000]
-            ids = self._ids(self.mark.join([w.decode() for w in part]))
+            ids = self._ids(self.mark.join([words[i].decode() for i in part]))
             cuts_at = np.flatnonzero(ids == self.mark_id)
             if len(cuts_at) != len(part) - 1:
                 raise ValueError("the tokenizer lost a separator")
-            for i, (w, x) in enumerate(zip(part, np.split(ids, cuts_at), strict=True)):
-                out[w] = x.tobytes() if i == 0 else x[1:].tobytes()
+            for n, (i, x) in enumerate(zip(part, np.split(ids, cuts_at), strict=True)):
+                out[i] = x.tobytes() if n == 0 else x[1:].tobytes()
         return out
 
     def _pieces(self, text: bytes):
@@ -232,19 +231,41 @@ class Encoder:
         return out + self._encode(part)
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
-        """Frequent words come early, so the first REMEMBER words are kept; later ones serve this piece alone."""
-        words = [t.split() for t in texts]
+        """Each different word of the texts is looked up once; their ids are then laid out by numpy."""
+        cut = cut_words(texts)
+        ids, bounds = self._laid_out(cut)
+        return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """How many ids each text has."""
+        cut = cut_words(texts)
+        each = np.fromiter(map(len, self._looked_up(cut.words)), np.int64, len(cut.words)) // self.type.itemsize
+        return np.diff(np.concatenate([[0], np.cumsum(each[cut.index])])[cut.bounds])
+
+    def _looked_up(self, words: list[bytes]) -> list[bytes]:
+        """Frequent words come early, so the first to come are remembered, as many as have room; later ones serve this piece alone."""
         self.pieces += 1
         if self.pieces % ANEW == 0:
-            self.known = _Words()
-        known = self.known
-        new = self._learned({w for ws in words for w in ws if w not in known})
-        if len(known) < self.remember:
-            known.update(new)
-        else:
-            known.passing = new
-        get = known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+            self.known = {}
+        found = list(map(self.known.get, words))
+        new = [i for i, x in enumerate(found) if x is None]
+        learned = self._learned([words[i] for i in new])
+        room = self.remember - len(self.known)
+        for i, ids in zip(new, learned, strict=True):
+            found[i] = ids
+            if room > 0:
+                self.known[words[i]], room = ids, room - 1
+        return found
+
+    def _laid_out(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        found = self._looked_up(cut.words)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
+        flat = np.frombuffer(b"".join(found), self.type)
+        each = size[cut.index]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        at = np.repeat((np.cumsum(size) - size)[cut.index] - ends[:-1], each)
+        at += np.arange(ends[-1])
+        return flat[at], ends[cut.bounds]
 
 
 @lru_cache(maxsize=2)
@@ -255,15 +276,17 @@ def encoder(path: str) -> Encoder:
 # ---------------------------------------------------------------- files
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shard_docs: int = SHARD_DOCS, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes the token ids of docs (doc_id, text), each with end_id after it, and returns the manifest.
 
     Documents are in ascending doc_id over all files, null first, repeated ids by a hash of their text; the same rows
     give the same files. A null or empty text has end_id alone. Ids take two bytes each where the vocabulary
-    allows. Documents travel to their shard as compressed ids, not as text. No documents give an empty manifest.
+    allows. A shard is a range of (doc_id, hash) with about shard_bytes of text, so an id that very many different texts
+    share is cut too. Documents travel to their shard as compressed ids, not as text. No documents give an empty manifest.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    at = cuts(rows.select(F.col("doc_id").alias("k"), F.lit(0).cast("long").alias("h"), F.lit(1).alias("w")), shard_docs)
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    at = cuts(rows.select(F.col("doc_id").alias("k"), "h", (F.octet_length("text") + 64).cast("long").alias("w")), shard_bytes)
 
     width = Encoder(tokenizer).type.itemsize
 
@@ -272,14 +295,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         end = np.array([end_id], tool.type).tobytes()
         for batch in batches:
             # A part of a batch at a time, so that ids of long texts don't stand beside all others.
-            for i in range(0, len(batch), 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, len(batch), 2000):
+                part = batch.slice(i, 2000)
                 ids = pa.array([pack.compress(x + end) for x in tool.encode(as_bytes(part.column(1)))], pa.binary())
-                shard = pa.array([place_of(at, x, 0) for x in part.column(0).to_pylist()], pa.int32())
+                shard = pa.array(places(at, part.column(0), part.column(2)), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), ids, shard], ["doc_id", "h", "ids", "shard"])
 
-    packed = rows.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(encode, "doc_id long, h long, ids binary, shard int")
-    packed = packed.repartition(4 * len(at) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "ids").select("shard", "doc_id", "ids")
+    packed = rows.select("doc_id", "text", "h").mapInArrow(encode, "doc_id long, h long, ids binary, shard int")
+    packed = packed.repartitionById(len(at) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "h", "ids").select("shard", "doc_id", "ids")
 
     def finish(file, width, names, nulls, ends):
         parts = [EliasFano.of(np.array(names, np.int64)).pack(), EliasFano.of(np.array([0, *ends], np.int64)).pack()]
@@ -342,15 +365,16 @@ class TokenFile:
         w = self.type.itemsize
         return name, np.frombuffer(self.file.read_at((b - a) * w, 8 + a * w), self.type)
 
-    def stretches(self, most: int = 1 << 20):
-        """(doc ids, boundaries, ids) of runs of documents, about `most` ids at a time."""
-        bounds, w = self.bounds.all(), self.type.itemsize
-        names = [None] * self.foot["nulls"] + self.names.all().tolist()
-        i = 0
+    def stretches(self, most: int = 1 << 20, docs: int = 4096):
+        """(doc ids, boundaries, ids) of runs of documents, about `most` ids and at most `docs` documents at a time."""
+        w, nulls, i = self.type.itemsize, self.foot["nulls"], 0
         while i < self.docs:
-            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
-            raw = self.file.read_at(int(bounds[j] - bounds[i]) * w, 8 + int(bounds[i]) * w)
-            yield names[i:j], bounds[i : j + 1], np.frombuffer(raw, self.type)
+            bounds = self.bounds.part(i, min(i + docs, self.docs) + 1)
+            n = max(1, int(np.searchsorted(bounds, bounds[0] + most, "right")) - 1)
+            bounds, j = bounds[: n + 1], i + n
+            names = [None] * max(0, min(j, nulls) - i) + self.names.part(max(0, i - nulls), max(0, j - nulls)).tolist()
+            raw = self.file.read_at(int(bounds[-1] - bounds[0]) * w, 8 + int(bounds[0]) * w)
+            yield names, bounds, np.frombuffer(raw, self.type)
             i = j
 
 

@@ -2,15 +2,17 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from maploom.llm import classifier, components, decontaminate, mixing, quality_rules, rollups, secrets_scan, simhash, tokens, url_rules, warc
+from maploom.llm import classifier, components, decontaminate, mixing, quality_rules, rollups, secrets_scan, shards, shared, simhash, tokens, url_rules, warc
 from maploom.llm.queries import tokenizer_path
 from maploom.llm.shared import new_folder
 from tests.llm import brute
@@ -321,7 +323,8 @@ def test_elias_fano(values):
     if values and values[-1] - values[0] >= 1 << 63:
         values = [v for v in values if v >= 0]
     ef = tokens.EliasFano.unpack(tokens.EliasFano.of(np.array(values, np.int64)).pack())
-    assert ef.all().tolist() == values
+    assert ef.part(0, len(values)).tolist() == values
+    assert [ef.part(i, j).tolist() for i, j in [(0, 0), (len(values) // 3, len(values) // 2), (len(values) // 2, len(values))]] == [values[i:j] for i, j in [(0, 0), (len(values) // 3, len(values) // 2), (len(values) // 2, len(values))]]
     assert [ef.select(i) for i in range(0, len(values), 7)] == values[::7]
 
 
@@ -345,7 +348,7 @@ def test_words_encode_like_the_whole_text(tool, parts):
 
 def test_tokens(spark, docs, tool):
     folder = new_folder(spark, "t")
-    files = tokens.write_tokens(docs, folder, tokenizer_path(), shard_docs=20, file_bytes=5000)
+    files = tokens.write_tokens(docs, folder, tokenizer_path(), shard_bytes=20_000, file_bytes=5000)
     assert files.count() > 4
     got = tokens.read_tokens(spark, folder, ids=True).orderBy("start").collect()
     assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r.doc_id is not None, r.doc_id or 0) for r in docs.collect())
@@ -365,6 +368,41 @@ def test_tokens(spark, docs, tool):
     assert tokens.write_tokens(docs.limit(0), folder, tokenizer_path()).count() == 0 and tokens.read_tokens(spark, folder).count() == 0
 
 
+def test_tokens_of_one_id_are_cut(spark, tool):
+    """Texts that share an id go to several shards, by their hash."""
+    texts = [f"text number {i} with some words" for i in range(400)]
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(8, "b"), (None, "a")], "doc_id long, text string")
+    folder = new_folder(spark, "t")
+    files = tokens.write_tokens(docs, folder, tokenizer_path(), shard_bytes=4000)
+    assert files.count() > 5
+    got = tokens.read_tokens(spark, folder, ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] + [7] * 400 + [8]
+    assert sorted(r.ids for r in got[1:-1]) == sorted([*tool.library.encode(t, add_special_tokens=False).ids, 1] for t in texts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text(alphabet=" \n\ta\u00e9\u00a0b", max_size=9), max_size=9))
+def test_cut_words(texts):
+    raw = [(t or "").encode() for t in texts]
+    cut = shared.cut_words([t if t is None else t.encode() for t in texts])
+    assert [[cut.words[i] for i in cut.index[a:b]] for a, b in zip(cut.bounds[:-1], cut.bounds[1:], strict=True)] == [t.split() for t in raw]
+    cut = shared.cut_words(raw, blanks=True)
+    pieces = [[cut.words[i] for i in cut.index[a:b]] for a, b in zip(cut.bounds[:-1], cut.bounds[1:], strict=True)]
+    assert [b"".join(p) for p in pieces] == raw
+    assert all(re.fullmatch(rb"[ \n\t]*[^ \n\t]*", x) and x for p in pieces for x in p)
+    assert all(x[:1].isspace() for p in pieces for x in p[1:])
+
+
+def test_places():
+    import bisect
+
+    rng = random.Random(6)
+    at = sorted({(k is not None, k or 0, rng.randrange(-9, 9)) for k in rng.choices([None, -3, 0, 5, 5, 9], k=30)})
+    keys = [(rng.choice([None, *range(-4, 11)]), rng.randrange(-10, 10)) for _ in range(500)]
+    got = shards.places(at, pa.array([k for k, _ in keys], pa.int64()), pa.array([h for _, h in keys], pa.int64()))
+    assert got.tolist() == [bisect.bisect_right(at, (k is not None, k or 0, h)) for k, h in keys]
+
+
 def test_urls(spark):
     urls = ["http://A.Example.org/es/x?y", "http://example.org/en/12", "http://example.org/en/2", "http://example.org", "http://xexample.org/es/", "https://b.com/fr/1", "https://com/de/#a", "https://b.com/de?q=/", "://", None, "no scheme", "ftp://h?x://y/z", "http://É.ORG/", "http://a/b://c.org/", "http://x.net/p"]
     pages = spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)] + [(None, "http://q.org/", "t")], "page_id long, url string, host string")
