@@ -47,12 +47,25 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def warcinfo(name: str) -> bytes:
+    """The record that opens a file."""
+    block = b"software: maploom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'file:{name}')}>", f"WARC-Date: {DATE}", f"WARC-Filename: {name}"]
+    head += [f"WARC-Block-Digest: {_b32(hashlib.sha1(block).hexdigest())}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return b"WARC/1.1\r\n" + "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def _member(record: bytes) -> bytes:
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return pack.compress(record) + pack.flush()
+
+
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes one record for each row of pages (page_id, url, html) and returns the manifest.
 
     Records are in ascending page_id, null first, then by digest and url; a shard is a range of page ids, so
     the same rows give the same files byte for byte, whatever the partitioning. Each record is a gzip member of its own;
-    a file is closed once it holds file_bytes. A payload is the html in UTF-8, empty for null. Of equal payloads of at least
+    a warcinfo record opens each file, which is closed once it holds file_bytes. A payload is the html in UTF-8, empty for null. Of equal payloads of at least
     least_bytes the one with the largest page_id is a response and the others revisit it; among repeated rows with
     that page_id one is the response. Payloads that only rows without a page_id have are all responses. Null urls
     give no target line. No pages give an empty manifest. Other columns are not read.
@@ -68,7 +81,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
     full = rows.select("*", F.sha1("payload").alias("digest"), F.lit(None).cast("long").alias("rep"), F.lit(_ROLE_PAGE).alias("role"))
     every = full.unionByName(marks).withColumn("shard", shard_of(spark, F.col("page_id"), F.xxhash64("digest"), at))
     order = ["shard", F.col("page_id").asc_nulls_first(), "digest", "role", F.col("url").asc_nulls_first()]
-    every = every.repartition(4 * len(at) + 1, "shard").sortWithinPartitions(*order).select("shard", "page_id", "url", "payload", "digest", "rep", "role")
+    every = every.repartitionById(len(at) + 1, "shard").sortWithinPartitions(*order).select("shard", "page_id", "url", "payload", "digest", "rep", "role")
 
     def run(batches):
         file, key, nth, rep = None, None, 0, None
@@ -79,20 +92,14 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
                 if role == _ROLE_MARK:
                     rep = mark
                     continue
-                if file is not None and file.shard != shard:
-                    yield file.row()
-                    file = None
-                    seq = 0
-                if file is None:
-                    seq = 0
-                    file = File(folder, shard, seq, "warc.gz")
-                elif file.bytes >= file_bytes:
-                    yield file.row()
-                    seq += 1
+                if file is None or file.shard != shard or file.bytes >= file_bytes:
+                    seq = file.seq + 1 if file is not None and file.shard == shard else 0
+                    if file is not None:
+                        yield file.row()
                     file = File(folder, shard, seq, "warc.gz")
+                    file.write(_member(warcinfo(file.name)))
                 revisit = rep is not None and (page_id != rep or nth > 0)
-                pack = zlib.compressobj(6, zlib.DEFLATED, 31)
-                file.write(pack.compress(record(page_id, url, payload, digest, rep, revisit, nth)) + pack.flush())
+                file.write(_member(record(page_id, url, payload, digest, rep, revisit, nth)))
                 file.records += 1
                 nth += 1
         if file is not None:
@@ -132,10 +139,12 @@ def read_warc(spark: SparkSession, folder: str, payload: bool = False) -> DataFr
         fs, base = open_fs(folder)
         with fs.open_input_stream(f"{base}/{path}", compression=None) as raw, io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 18) as stream:
             for head, block in records(stream):
-                top, _, body = block.partition(b"\r\n\r\n")
-                digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
                 if _b32(hashlib.sha1(block).hexdigest()) != head["warc-block-digest"]:
                     raise ValueError(f"{path}: a block digest is wrong")
+                if head["warc-type"] == "warcinfo":
+                    continue
+                top, _, body = block.partition(b"\r\n\r\n")
+                digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
                 if head["warc-type"] == "response" and hashlib.sha1(body).hexdigest() != digest:
                     raise ValueError(f"{path}: a payload digest is wrong")
                 size = int(top.lower().partition(b"content-length:")[2].split(b"\r\n")[0])
