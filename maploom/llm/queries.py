@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maploom.llm import classifier, decontaminate, mixing, quality_rules, rollups, secrets_scan, simhash, tokens, url_rules, warc
-from maploom.llm.shared import n_words, new_folder, table, written
+from maploom.llm import classifier, decontaminate, mixing, quality_rules, rollups, secrets_scan, simhash, token_counts, tokens, url_rules, warc
+from maploom.llm.shared import new_folder, table, written
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,20 +39,25 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.secrets(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-#: Tokenizer versions of the rollup: runs without white space; runs of letters, digits and other characters.
-_VERSIONS = {"blanks/1": r"[^\x20\x09-\x0D]+", "marks/1": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"}
+#: Tokenizer versions of the rollup, and their files.
+VERSIONS = {"word_bpe_49k": "word_bpe_49k.json", "byte_bpe_50k": "byte_bpe_50k.tiktoken"}
 
 
-def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads the counts of all documents, deletes toxic ones, revises the low-quality ones to their counts without symbols, and delivers the deletes twice."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    bare = F.regexp_replace("text", r"[#*$%&|<>]", "")
-    count = lambda text, p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).cast("long")
-    labels = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]).groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"), (F.min("quality") == 0).alias("low"))
-    rows = written(docs.select("doc_id", "lang", "source", *(count(t, p).alias(f"{k}{i}") for i, p in enumerate(_VERSIONS.values()) for k, t in (("n", F.col("text")), ("b", bare)))), "counts")
-    rows = rows.join(labels, "doc_id", "left")
-    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(f"n{i}").alias("n"), F.col(f"b{i}").alias("b")) for i, v in enumerate(_VERSIONS)]))
-    rows = rows.select("lang", "source", "toxic", "low", each.alias("t")).select("lang", "source", "toxic", "low", "t.*")
+def token_rollup(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(source, lang, tokenizer, docs, tokens) of docs (doc_id, text, lang, source) after four batches: all documents are
+    loaded, toxic ones deleted, other low-quality ones revised to their counts without symbols, and the deletes delivered twice.
+
+    Labels (doc_id, quality, toxic) say toxic if any toxic is 1, low if any quality is 0; a null or missing one says neither.
+    Every row of a repeated id is deleted or revised. Documents without an id have no labels.
+    """
+    import public_tokenizers
+
+    spark = docs.sparkSession
+    paths = {v: public_tokenizers.path(f) for v, f in VERSIONS.items()}
+    by = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.coalesce(F.max("toxic") == 1, F.lit(False)).alias("toxic"), F.coalesce(F.min("quality") == 0, F.lit(False)).alias("low"))
+    rows = written(token_counts.token_counts(docs, paths, quality_rules.SYMBOLS), "counts").join(by, F.col("doc_id") == F.col("of"), "left")
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col("tokens")[i].alias("n"), F.col("bare")[i].alias("b")) for i, v in enumerate(VERSIONS)]))
+    rows = rows.select("lang", "source", F.coalesce("toxic", F.lit(False)).alias("toxic"), F.coalesce("low", F.lit(False)).alias("low"), each.alias("t")).select("lang", "source", "toxic", "low", "t.*")
 
     def change(kind: str, some: DataFrame, tokens: str) -> DataFrame:
         return some.select(F.lit(kind).alias("change"), "source", "lang", "tokenizer", F.col(tokens).alias("tokens"), F.col("source").alias("old_source"), F.col("lang").alias("old_lang"), F.col("n").alias("old_tokens"))
@@ -65,6 +70,10 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_rollup(table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"]), table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"]))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
     return out.drop("class_distance", "word_distance")
@@ -99,17 +108,5 @@ select p.page_id, p.n::bigint payload_bytes, p.d payload_digest,
 from p left join r on p.d = r.d
 """
 
-OP7_SQL = r"""
-with d as (select doc_id, lang, source, coalesce(text, '') t, regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g') b from documents),
-     l as (select doc_id, max(toxic) = 1 toxic, min(quality) = 0 low from labels group by doc_id),
-     n as (select d.source, d.lang, coalesce(l.toxic, false) toxic, coalesce(l.low, false) low, v.tokenizer,
-                  len(regexp_extract_all(t, v.p)) n, len(regexp_extract_all(b, v.p)) b
-           from d left join l on d.doc_id = l.doc_id,
-                (values ('blanks/1', '[^\x20\x09-\x0D]+'), ('marks/1', '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) v(tokenizer, p))
-select source, lang, tokenizer, count(*)::bigint docs, sum(case when low then b else n end)::bigint tokens
-from n where not toxic group by all
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op7_token_rollup": OP7_SQL}
+    return {"op1_warc": OP1_SQL}

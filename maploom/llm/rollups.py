@@ -42,19 +42,22 @@ class Rollup:
     def _names(self, prefix: str) -> list[str]:
         return sorted(n for x in self._fs.listStatus(self._path(self.folder)) if (n := x.getPath().getName()).startswith(prefix))
 
-    def _base(self) -> tuple[str | None, set[str]]:
-        """The newest base, and the ids in it."""
-        bases = self._names("base-")
-        if not bases:
-            return None, set()
-        return bases[-1], {r[0] for r in self.spark.read.parquet(f"{self.folder}/{bases[-1]}/ids").collect()}
+    def _base(self) -> str | None:
+        """The newest base."""
+        return (self._names("base-") or [None])[-1]
+
+    def _held(self, base: str | None, ids: list[str]) -> set[str]:
+        """Those of ids that the base holds already; its list of all ids, which only grows, stays where it is."""
+        if base is None or not ids:
+            return set()
+        return {r[0] for r in self.spark.read.schema("id string").parquet(f"{self.folder}/{base}/ids").where(F.col("id").isin(ids)).collect()}
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
         """Commits a batch; False if it was committed before."""
         if not re.fullmatch(r"[A-Za-z0-9._-]+", batch_id):
             raise ValueError(f"no batch id: {batch_id!r}")
         final = self._path(f"{self.folder}/batch-{batch_id}")
-        if self._fs.exists(final) or batch_id in self._base()[1]:
+        if self._fs.exists(final) or self._held(self._base(), [batch_id]):
             return False
         temp = f"{self.folder}/_temporary-{uuid.uuid4().hex}"
         signed(changes).where("docs != 0 or tokens != 0").write.parquet(temp)
@@ -70,24 +73,29 @@ class Rollup:
         rows = self.spark.read.schema(self._SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self._SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
 
-    def _open(self) -> tuple[str | None, set[str], list[str]]:
-        base, done = self._base()
-        return base, done, [i for n in self._names("batch-") if (i := n.removeprefix("batch-")) not in done]
+    def _open(self) -> tuple[str | None, list[str]]:
+        """The newest base, and the committed batches that aren't in it."""
+        base = self._base()
+        ids = [n.removeprefix("batch-") for n in self._names("batch-")]
+        held = self._held(base, ids)
+        return base, [i for i in ids if i not in held]
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) over all committed batches; groups that came to nothing are left out."""
-        base, _, ids = self._open()
-        return self._sums(base, ids)
+        return self._sums(*self._open())
 
     def compact(self) -> None:
         """Writes a new base, then removes the batches that it holds. A crash in between leaves batches that the base's list rules out."""
-        base, done, ids = self._open()
+        base, ids = self._open()
         if not ids:
             return
         name = f"base-{int(base.removeprefix('base-')) + 1 if base else 1:08d}"
         temp = f"{self.folder}/_temporary-{uuid.uuid4().hex}"
         self._sums(base, ids).write.parquet(f"{temp}/sums")
-        self.spark.createDataFrame([(i,) for i in sorted(done | set(ids))], "id string").write.parquet(f"{temp}/ids")
+        listed = self.spark.createDataFrame([(i,) for i in ids], "id string")
+        if base:
+            listed = listed.unionAll(self.spark.read.schema("id string").parquet(f"{self.folder}/{base}/ids"))
+        listed.write.parquet(f"{temp}/ids")
         if not self._fs.rename(self._path(temp), self._path(f"{self.folder}/{name}")):
             raise OSError(f"{name} can't be published")
         for i in ids:
