@@ -1,7 +1,10 @@
 """Plain versions of the operators, one row at a time."""
 
 import hashlib
+import math
 import re
+import unicodedata
+from collections import Counter
 
 import xxhash
 
@@ -105,3 +108,56 @@ def warc(pages):
         revisit = n >= 1000 and d in best and not first
         out.append((p, n, d, "revisit" if revisit else "response", best[d] if revisit else None))
     return out
+
+
+def char_class(c):
+    kind = unicodedata.category(c)
+    latin = ord(c) < 0x250 or 0x1E00 <= ord(c) <= 0x1EFF
+    if c in "\r\n" or kind in ("Zl", "Zp"):
+        return "end"
+    if c == "\t" or kind == "Zs":
+        return "blank"
+    if kind in ("Ll", "Lu", "Lt"):
+        return ("low" if kind == "Ll" else "up") if latin else "cased"
+    return "letter" if kind in ("Lo", "Lm") else kind[0] if kind[0] in "MNPS" else "other"
+
+
+def js(p, q):
+    """Jensen-Shannon distance of two counters."""
+    a, b = sum(p.values()), sum(q.values())
+    if not a or not b:
+        return float(bool(a) != bool(b))
+    total = 0.0
+    for k in set(p) | set(q):
+        x, y = p[k] / a, q[k] / b
+        total += sum(v * math.log2(2 * v / (x + y)) for v in (x, y) if v) / 2
+    return math.sqrt(min(1.0, max(0.0, total)))
+
+
+def quality(docs, least_words, common, spreads, least_excess, least_group):
+    """[(doc_id, base..., kept, class distance, word distance)] of (doc_id, text, lang)."""
+    rows, sums, words = [], {}, {}
+    for d, text, lang in docs:
+        base = quality_base(text)
+        classes = Counter(map(char_class, text or ""))
+        plain = Counter(w for w in (x.strip(".,;:!?'\"()-").lower() for x in re.findall(WS, text or "")) if w)
+        held = not base[5] and base[0] >= least_words
+        rows.append((d, lang, base, classes, plain, held))
+        if held:
+            sums[lang] = sums.get(lang, Counter()) + classes
+            words[lang] = words.get(lang, Counter()) + plain
+    words = {k: dict(sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:common]) for k, c in words.items()}
+    far = [(js(c, sums[lang]), js(Counter({k: n for k, n in w.items() if k in words[lang]}), Counter(words[lang]))) if held else None for _, lang, _, c, w, held in rows]
+    groups = {}
+    for (_, lang, base, *_), f in zip(rows, far, strict=True):
+        for key in ((lang, base[0].bit_length()), (base[0].bit_length(),), ()) if f else ():
+            groups.setdefault(key, []).append(f)
+
+    def cut(lang, n, i):
+        for key in ((lang, n.bit_length()), (n.bit_length(),), ()):
+            steps = sorted(int(f[i] * 1000 + 0.5) for f in groups[key])
+            if len(steps) >= least_group or not key:
+                q2, q3 = (steps[math.ceil(len(steps) * q) - 1] / 1000 for q in (0.5, 0.75))
+                return q2 + max(spreads * (q3 - q2), least_excess)
+
+    return [(d, *base, not base[5] and not (f and any(f[i] > cut(lang, base[0], i) for i in range(2))), f) for (d, lang, base, *_), f in zip(rows, far, strict=True)]
