@@ -1,11 +1,11 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Tiles are cut so that whole tile pairs can be skipped: a fingerprint's tile is the population
-count of each of its four 16-bit quarters, and a bit that differs moves one of these counts by one.
-Two fingerprints within radius r therefore lie in tiles whose counts differ by r at most in sum, and
-only those tile pairs are compared, by numpy exclusive-or and bit counts. Large tiles are cut in
-blocks, so that a task holds one block and streams the others past it. A task returns only links
-that join two of its groups, so a group of n copies yields n links or so, not n squared.
+Two fingerprints within radius r agree in one of r + 1 equal bands of their bits, so the rows with a band's value
+are a tile, and a value that one row alone has is none. Within a tile rows stand in order of their population counts,
+and blocks whose counts differ by more than r never meet, as each bit that differs moves a count by one.
+What is left is compared by numpy exclusive-or and bit counts. A tile too large for one task is cut by
+population count, and further by hash; its parts meet the parts within r. A task returns only links that
+join two of its groups, so a group of n copies yields n links or so, not n squared.
 """
 
 from __future__ import annotations
@@ -74,8 +74,12 @@ def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
 # ---------------------------------------------------------------- comparison in tasks
 
 
+def _population(words: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+
+
 class _Tile:
-    """One block of a tile: held rows, and which of them are linked so far."""
+    """One block of a tile: held rows, in order of their population counts once there are no more, and which of them are linked so far."""
 
     def __init__(self, limit) -> None:
         self.ids, self.words, self.size = np.empty(0, np.int64), None, np.empty(0, np.float64)
@@ -86,17 +90,36 @@ class _Tile:
         self.words = words if self.words is None else np.concatenate([self.words, words])
         self.size = np.concatenate([self.size, size])
 
+    def _in_order(self) -> np.ndarray:
+        """Puts the held rows in order; their places before."""
+        self.joined = True
+        if self.words is None:
+            return np.empty(0, np.int64)
+        pops = _population(self.words)
+        order = np.argsort(pops, kind="stable")
+        self.ids, self.words, self.size, self.pops = self.ids[order], self.words[order], self.size[order], pops[order]
+        return order
+
     def _near(self, words, size) -> Iterator[tuple[int, np.ndarray]]:
-        """(row, held rows within reach) in order, for rows with any."""
+        """(row, held rows within reach) for rows with any. Held rows whose population counts are out of a block's reach aren't looked at."""
         step = max(1, CHUNK // (8 * max(1, len(self.ids))))
+        pops = _population(words)
+        order = np.argsort(pops, kind="stable")
         for at in range(0, len(words), step):
-            part = words[at : at + step]
-            apart = np.zeros((len(part), len(self.ids)), np.uint16)
+            rows = order[at : at + step]
+            limit = np.broadcast_to(self.limit(size[rows, None], self.size[None, :]), (len(rows), len(self.ids)))
+            reach = limit.max()
+            a = int(np.searchsorted(self.pops, pops[rows[0]] - reach, "left"))
+            b = int(np.searchsorted(self.pops, pops[rows[-1]] + reach, "right"))
+            if reach < 0 or a >= b:
+                continue
+            part, held = words[rows], self.words[a:b]
+            apart = np.zeros((len(rows), b - a), np.uint16)
             for w in range(words.shape[1]):
-                apart += np.bitwise_count(part[:, w, None] ^ self.words[None, :, w])
-            hit = apart <= self.limit(size[at : at + step, None], self.size[None, :])
+                apart += np.bitwise_count(part[:, w, None] ^ held[None, :, w])
+            hit = apart <= limit[:, a:b]
             for i in np.flatnonzero(hit.any(axis=1)):
-                yield at + i, np.flatnonzero(hit[i])
+                yield int(rows[i]), a + np.flatnonzero(hit[i])
 
     def _merge(self, near: np.ndarray) -> np.ndarray:
         """One held row for each group among near; the groups become one."""
@@ -107,7 +130,8 @@ class _Tile:
 
     def within(self) -> Iterator[tuple[int, int]]:
         """Links among the held rows."""
-        self.group, self.joined = np.arange(len(self.ids)), True
+        self._in_order()
+        self.group = np.arange(len(self.ids))
         if len(self.ids) > 1:
             for i, near in self._near(self.words, self.size):
                 if len(near) > 1:
@@ -156,7 +180,8 @@ class _SetTile(_Tile):
         return near[ok]
 
     def within(self) -> Iterator[tuple[int, int]]:
-        self.group, self.joined = np.arange(len(self.ids)), True
+        self.sets = [self.sets[i] for i in self._in_order()]
+        self.group = np.arange(len(self.ids))
         if not len(self.ids):
             return
         self.names, codes = np.unique(np.concatenate(self.sets), return_inverse=True)
@@ -186,6 +211,7 @@ class _Marks(_Tile):
 
     def _mark(self) -> None:
         if self.marked is None:
+            self.order = self._in_order()
             self.marked = np.zeros(len(self.ids), bool)
             if len(self.ids) > 1:
                 for i, near in self._near(self.words, self.size):
@@ -203,7 +229,9 @@ class _Marks(_Tile):
     def held(self) -> list[pa.RecordBatch]:
         self._mark()
         cuts = np.cumsum([len(p) for p in self.parts])[:-1]
-        return [p.filter(pa.array(m)) for p, m in zip(self.parts, np.split(self.marked, cuts), strict=True) if m.any()]
+        marked = np.zeros(len(self.ids), bool)
+        marked[self.order] = self.marked
+        return [p.filter(pa.array(m)) for p, m in zip(self.parts, np.split(marked, cuts), strict=True) if m.any()]
 
 
 def _candidates(limit, n_words: int):
@@ -287,34 +315,34 @@ def _streamed(rows: DataFrame, limit, n_words: int) -> DataFrame:
 # ---------------------------------------------------------------- 64-bit fingerprints, small radius
 
 
-def _steps(radius: int) -> list[tuple[int, ...]]:
-    """Moves of the four counts by at most radius in sum; of a move and its opposite only the greater."""
-    return [d for d in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius and d >= (0, 0, 0, 0)]
+def _bands(radius: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of radius + 1 bands of 64 bits."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(a, b - a) for a, b in itertools.pairwise(cuts)]
 
 
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between different fingerprints fp within radius; as many as join their groups, not all pairs."""
-    if radius < 0:
-        raise ValueError("radius is negative")
-    quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF)) for i in range(4)]
-    tile = sum(((q * 17**i) for i, q in enumerate(quarters[1:], 1)), quarters[0])
-    rows = fps.select("fp", F.array(*quarters).alias("q"), tile.cast("int").alias("tile"))
-    # 17^4 tiles at most, whatever the input: small enough to send to every task.
-    sizes = F.broadcast(rows.groupBy("tile").agg(F.count("*").alias("n")).select(F.col("tile").alias("at"), F.ceil(F.col("n") / block).cast("int").alias("blocks")))
-    salt = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
-    own = rows.join(sizes, rows.tile == F.col("at"))
-    unit = lambda tile, salt: tile.cast("long") * (1 << 40) + salt
-    held = own.select(unit(F.col("tile"), salt).alias("unit"), F.lit(0).alias("role"), "fp")
-    # Within a tile of several blocks, a row passes the blocks after its own.
-    inside = own.where("blocks > 1").withColumn("salt", salt).select("tile", "fp", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> x > salt)")).alias("b")).select(unit(F.col("tile"), F.col("b")).alias("unit"), F.lit(1).alias("role"), "fp")
-    moves = [(sum(x * 17**i for i, x in enumerate(d)), d) for d in _steps(radius) if any(d)]
-    passing = held.limit(0)
-    if moves:
-        # A count outside 0..16 would name another tile, so such moves are left out.
-        fits = lambda d: F.lit(True) if not any(d) else F.forall(F.array(*[(F.col("q")[i] + x).between(0, 16) for i, x in enumerate(d) if x]), lambda z: z)
-        to = F.explode(F.array_compact(F.array(*[F.when(fits(d), F.col("tile") + F.lit(m)) for m, d in moves])))
-        passing = rows.select("fp", to.alias("to")).join(sizes, F.col("to") == F.col("at")).select("to", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b")).select(unit(F.col("to"), F.col("b")).alias("unit"), F.lit(1).alias("role"), "fp")
-    every = held.unionAll(inside).unionAll(passing).select("unit", "role", F.col("fp").alias("node"), F.col("fp").alias("w0"), F.lit(0.0).alias("size"))
+    if not 0 <= radius < 64:
+        raise ValueError("radius is not between 0 and 63")
+    if radius == 0:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    values = [F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", a).bitwiseAND((1 << n) - 1).alias("value")) for i, (a, n) in enumerate(_bands(radius))]
+    rows = fps.select("fp", F.bit_count("fp").alias("pop"), F.explode(F.array(*values)).alias("t")).select("fp", "pop", "t.*")
+    sizes = rows.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    own = written(rows.join(sizes, ["band", "value"]), "tiles")
+    unit = lambda pop, salt: F.xxhash64("band", "value", pop, salt)
+    whole = own.where(F.col("n") <= block).select(unit(F.lit(-1), F.lit(0)).alias("unit"), F.lit(0).alias("role"), "fp")
+    large = own.where(F.col("n") > block)
+    parts = large.groupBy("band", "value", F.col("pop").alias("to")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    # Each row is held in its own part, and passes the parts with up to radius more bits; the other direction meets there too.
+    to = large.withColumn("to", F.explode(F.sequence(F.col("pop"), F.col("pop") + radius))).join(parts, ["band", "value", "to"])
+    to = to.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int"))
+    held = to.where("to = pop").select(unit(F.col("to"), F.col("salt")).alias("unit"), F.lit(0).alias("role"), "fp")
+    # Within a part of several blocks, a row passes the blocks after its own.
+    passing = to.select("band", "value", "to", "fp", F.explode(F.expr("filter(sequence(0, blocks - 1), x -> to > pop or x > salt)")).alias("b"))
+    passing = passing.select(unit(F.col("to"), F.col("b")).alias("unit"), F.lit(1).alias("role"), "fp")
+    every = whole.unionAll(held).unionAll(passing).select("unit", "role", F.col("fp").alias("node"), F.col("fp").alias("w0"), F.lit(0.0).alias("size"))
     return _streamed(every, lambda a, b: radius, 1)
 
 
@@ -393,7 +421,7 @@ def _bit(text: bytes | None) -> int:
 
 
 def _sets(bits: DataFrame, k: int):
-    """mapInArrow over (doc_id, text): (node, set) of the texts whose bit is among bits, and of few others."""
+    """mapInArrow over (doc_id, text, ..): (node, set) of the texts whose bit is among bits, and of few others."""
     among = np.zeros(FILTER // 64, np.int64)
     words = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w")).toArrow()
     among[words.column("at").to_numpy()] = words.column("w").to_numpy()
@@ -412,7 +440,7 @@ def _sets(bits: DataFrame, k: int):
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, slack: float = 4.0, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) where links join documents whose sets of k-word shingles have this Jaccard similarity or more.
+    """(doc_id, h, component_id, component_h) where links join documents whose sets of k-word shingles have this Jaccard similarity or more.
 
     At such a similarity a seventh of the bits may differ, and population counts skip no tile pair. So
     fingerprints have 512 bits, and tiles are the equal values of eight keys of three shingle minima each: a
@@ -420,6 +448,8 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sla
     prefixes of their sorted hashes, without fail. Within tiles the comparison is the one above, with a
     limit slack standard deviations wide that follows from both set sizes; the rows that have another within it are compared
     once more with their sets, and these alone decide which are linked. Equal shingle sets always link.
+    h, Spark's xxhash64 of the text, tells rows that share an id apart: a component's first row by doc_id, null last,
+    and then h gives its component_id and component_h.
     Nulls, repeats and empty texts as in simhash_components. docs is read twice and must give the same texts again.
     """
     n = BITS // 64
@@ -428,14 +458,16 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sla
         for batch in batches:
             rows = [wide(x, k, similarity) for x in as_bytes(batch.column(1))]
             words = np.array([r[1] for r in rows], np.int64).reshape(len(rows), n)
-            cols = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), *(pa.array(words[:, i]) for i in range(n)), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array(map(_bit, as_bytes(batch.column(1))), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "size", *(f"w{i}" for i in range(n)), "keys", "bit"])
+            cols = [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), *(pa.array(words[:, i]) for i in range(n)), pa.array([r[3] for r in rows], pa.list_(pa.int64())), pa.array(map(_bit, as_bytes(batch.column(1))), pa.int64()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "size", *(f"w{i}" for i in range(n)), "keys", "bit", "h"])
 
     ws = [f"w{i}" for i in range(n)]
-    schema = "doc_id long, node long, size long, " + ", ".join(f"{w} long" for w in ws) + ", keys array<long>, bit long"
+    schema = "doc_id long, node long, size long, " + ", ".join(f"{w} long" for w in ws) + ", keys array<long>, bit long, h long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     all_rows = written(texts.mapInArrow(run, schema), "wide")
-    reps = written(all_rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), *(F.first(w).alias(w) for w in ws), F.first("keys").alias("keys"), F.first("bit").alias("bit")), "reps")
+    reps = written(all_rows.groupBy("node").agg(F.min(first).alias("first"), F.first("size").alias("size"), *(F.first(w).alias(w) for w in ws), F.first("keys").alias("keys"), F.first("bit").alias("bit")), "reps")
     tiles = reps.select("node", "size", *ws, F.explode("keys").alias("key"))
     # Both the rows of a block and their hashes have a bound.
     counts = tiles.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes")).where("n > 1").select("key", F.ceil(F.greatest(F.col("n") / block, F.col("hashes") / HASHES)).cast("int").alias("blocks"))
@@ -450,8 +482,8 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8, sla
     bits = near.select("node").distinct().join(reps.select("node", "bit"), "node").select("bit")
     sets = texts.mapInArrow(_sets(bits, k), "node long, set binary").groupBy("node").agg(F.first("set").alias("set"))
     found = components(_dealt(near.join(sets, "node"), n, "set").mapInArrow(_compare(lambda: _SetTile(limit, similarity), n), "a long, b long"))
-    named = found.join(reps.select("node", "first_id"), "node")
-    least = named.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = named.join(least, "root").select("node", "least_id")
-    of = written(reps.select("node", "first_id").join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component_id")), "of")
-    return all_rows.select("doc_id", "node").join(of, "node").select("doc_id", "component_id")
+    named = found.join(reps.select("node", "first"), "node")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    named = named.join(least, "root").select("node", "least")
+    of = written(reps.select("node", "first").join(named, "node", "left").select("node", F.coalesce("least", "first").alias("of")), "of")
+    return all_rows.select("doc_id", "h", "node").join(of, "node").select("doc_id", "h", F.col("of.doc_id").alias("component_id"), F.col("of.h").alias("component_h"))
