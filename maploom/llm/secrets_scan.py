@@ -21,6 +21,7 @@ _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _CRC = re.compile(rb"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 _JWT = re.compile(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_JWT_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 _WORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access"}
 _WORDS |= {f"gh{x}_": "crc_token" for x in "pousr"} | {"npm_": "crc_token", "eyj": "jwt"}
 _BASE62 = string.digits + string.ascii_uppercase + string.ascii_lowercase
@@ -46,7 +47,7 @@ def _jwt_ok(m: re.Match) -> bool:
     """The first two parts are JSON objects in URL-safe base 64, the header with an algorithm."""
     try:
         head, body = (json.loads(base64.urlsafe_b64decode(x + b"=" * (-len(x) % 4))) for x in m[0].split(b".")[:2])
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head and isinstance(body, dict)
 
@@ -71,10 +72,15 @@ class Scanner:
         if hits:
             free = dict.fromkeys(KINDS, 0)
             for start, kind in sorted(hits):
-                if start >= free[kind] and (m := _RULES[kind][0].match(text, start)):
+                if start < free[kind]:
+                    continue
+                if m := _RULES[kind][0].match(text, start):
                     free[kind] = m.end()
                     if _RULES[kind][1](m):
                         found.append((start, m.end(), kind))
+                elif kind == "jwt":
+                    # What follows the run made it fail, and will for every later start in the run.
+                    free[kind] = _JWT_RUN.match(text, start).end()
         ones = text.translate(_HEX)
         at = ones.find(b"1" * _HEX_LEAST)
         while at >= 0:
