@@ -12,9 +12,9 @@ from maploom.llm.shared import ascii_lower, written
 
 #: verdict, host, path
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Share of labelled urls that a combination and its label hold together, share of a combination's urls with the
-#: label, and mined rules that fit into one expression; more are refused, not cut.
-SUPPORT, CONFIDENCE, MOST_RULES = 0.01, 0.7, 2000
+#: Share of labelled urls that a combination and its label hold together, and urls at least; share of a combination's urls with the
+#: label; and mined rules that fit into one expression, of eight times as many combinations: more are refused, not cut.
+SUPPORT, LEAST_URLS, CONFIDENCE, MOST_RULES = 0.01, 5, 0.7, 2000
 _BLOCK = "label=block"
 
 
@@ -38,17 +38,20 @@ def tokens_of(url: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(scheme, domains, parts, ending, keys)), F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST_RULES) -> list[tuple[tuple[str, ...], float, float]]:
+def mine(labelled: DataFrame, support: float = SUPPORT, least: int = LEAST_URLS, confidence: float = CONFIDENCE, most: int = MOST_RULES) -> list[tuple[tuple[str, ...], float, float]]:
     """(tokens, confidence, lift) of the combinations in labelled (url, block) that say block often enough.
 
-    A combination is dropped where a part of it is a rule already. Null urls and labels are not learned from; without any
+    A combination and its label must hold together in a share `support` of the urls, and in `least` different urls: repeated
+    rows of a url with the same label count as one. A combination is dropped where a part of it is a rule already. Null urls and labels are not learned from; without any
     blocked url there are no rules.
     """
-    rows = labelled.where("url is not null and block is not null")
+    rows = labelled.where("url is not null and block is not null").select("url", "block").distinct()
     items = written(rows.select(F.array_union(tokens_of(F.col("url")), F.when(F.col("block"), F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")), "url-items")
-    if not items.where(F.array_contains("items", _BLOCK)).limit(1).count():
+    n, blocked = items.agg(F.count("*"), F.count_if(F.array_contains("items", _BLOCK))).first()
+    if blocked < least:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
+    # A little less than a whole number of urls, so that rounding asks for none more.
+    model = FPGrowth(itemsCol="items", minSupport=max(support, (least - 0.5) / n), minConfidence=confidence).fit(items)
     rules = model.associationRules.where(F.array_contains("consequent", _BLOCK)).select(F.array_sort("antecedent"), "confidence", "lift")
     found = rules.limit(most * 8 + 1).collect()
     if len(found) > most * 8:
@@ -87,14 +90,14 @@ def listed(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = R
     return out
 
 
-def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, support: float = SUPPORT, least: int = LEAST_URLS, confidence: float = CONFIDENCE) -> DataFrame:
     """(page_id, host, path, rule, verdict) for each row of pages (page_id, url).
 
     The longest listed rule decides; where none fits, a url is blocked if it has all tokens of a rule mined from
     labelled (url, block), else allowed. A null url, or one without ://, has an empty host and path and no rule.
     Repeated rows each give a row; an empty table gives no rows, or no mined rules.
     """
-    mined = mine(labelled, support, confidence)
+    mined = mine(labelled, support, least, confidence)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens"))
     by = listed(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("by", by)
@@ -103,8 +106,13 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Sequence[tuple[str,
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, block) of pages (url) whose path names a document of labels (doc_id, quality, toxic) by its last number."""
+    """(url, block) of pages (url) whose path names a document of labels (doc_id, quality, toxic) by its last number.
+
+    The given pages carry no labels of their own; their paths end in the number of the document that they show, so that document's
+    label is taken for the page's: block if any of its labels says quality 0 or toxic 1. Null labels say nothing. Pages without
+    such a number, or whose document has no label, are not learned from.
+    """
     number = F.regexp_extract(path_of(F.col("url")), "([0-9]+)[^0-9]*$", 1).try_cast("long")
     named = pages.select("url", number.alias("doc_id"))
-    by = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    by = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
     return named.join(by, "doc_id").select("url", "block")
