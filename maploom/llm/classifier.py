@@ -107,15 +107,25 @@ def _features_of(docs: DataFrame, extra: list[str]) -> DataFrame:
     return rows.mapInArrow(run, "features array<double>, " + kinds)
 
 
-def fit(rows: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, pairs: int = PAIRS, seed: int = SEED) -> Model:
-    """Learns from labels (doc_id, quality) of rows (doc_id, features) that are not held out.
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, label) of labels (doc_id, quality) that may be learned from: a document with several counts as good if they are so
+    on average; null ids, null labels and held-out documents are left out."""
+    by = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
+    return by.where(~held_out(F.col("doc_id")))
 
-    A document with several labels counts as good if they are so on average; labels without a document, null
-    ids and null labels are left out. Training looks at most_rows rows, those whose id hashes lowest.
-    """
-    by = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
-    by = by.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    got = rows.join(by, "doc_id").select("doc_id", "features", "label").dropDuplicates(["doc_id"]).collect()
+
+def sample(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """(doc_id, label) of the documents that training looks at: of the ids that docs and labels share, the most_rows whose hash is
+    least. Labels without a document use nothing up."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return written(labelled(labels).join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "sample")
+
+
+def fit(rows: DataFrame, some: DataFrame, pairs: int = PAIRS, seed: int = SEED) -> Model:
+    """Learns from rows (doc_id, features) of some (doc_id, label). Of repeated ids the row with the least features counts, so
+    that the same rows give the same model."""
+    # some has most_rows rows at most, twelve bytes each.
+    got = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("features"), F.min("label")).collect()
     got.sort(key=lambda r: r[0])
     return train(np.array([r[1] for r in got]).reshape(-1, len(FEATURES)), np.array([r[2] for r in got]), pairs, seed)
 
@@ -128,7 +138,7 @@ def classify(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, pai
     Null and empty texts score like a text of all-zero features. Repeated rows each give a row; without labels all score 0.5.
     """
     rows = written(_features_of(docs.select("text", F.col("doc_id").cast("long").alias("doc_id")), ["doc_id"]), "features")
-    score = fit(rows, labels, most_rows, pairs, seed).score(F.col("features"))
+    score = fit(rows, sample(rows, labels, most_rows), pairs, seed).score(F.col("features"))
     out = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
@@ -138,11 +148,9 @@ def accepted(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, pai
 
     Training reads the texts of the labelled sample only; then one pass scores and filters, and no text moves.
     """
-    by = labels.where("doc_id is not null and quality is not null and not (" + "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false))").select("doc_id").distinct()
-    some = written(by.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows), "sample")
-    # most_rows ids at most, eight bytes each.
-    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(some), "doc_id", "left_semi")
-    model = fit(written(_features_of(texts, ["doc_id"]), "features"), labels, most_rows, pairs, seed)
+    some = sample(docs, labels, most_rows)
+    texts = docs.select("text", F.col("doc_id").cast("long").alias("doc_id")).join(F.broadcast(some.select("doc_id")), "doc_id", "left_semi")
+    model = fit(written(_features_of(texts, ["doc_id"]), "features"), some, pairs, seed)
     at, weights, cut = docs.columns.index("text"), np.array(model.weights), math.log(CUT / (1 - CUT))
 
     def run(batches):
