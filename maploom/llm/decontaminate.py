@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -18,7 +18,6 @@ WINDOW = 10
 MOST_BYTES = 64 << 20
 #: Lower-cases A-Z, keeps a-z, 0-9 and every byte of other characters, blanks the rest.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_RUN = re.compile(rb"[^ ]+")
 
 
 def normal_words(text: bytes | None) -> list[bytes]:
@@ -63,16 +62,28 @@ class Matcher:
             items |= of
         return len(words), np.flatnonzero(np.cumsum(mark[:-1]) > 0), items
 
-    def spans(self, text: str | None) -> list[tuple[int, int]]:
-        """Code point spans of the original text that occurrences cover, merged where only non-words lie between."""
-        raw = (text or "").encode()
-        _, hit, _ = self.scan(raw)
+    def spans(self, raw: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
+        """Code point spans of the original text that cover the words hit, merged where only non-words lie between."""
         if not len(hit):
             return []
-        bounds = [m.span() for m in _RUN.finditer(raw.translate(_TABLE))]
-        runs = np.split(hit, np.flatnonzero(np.diff(hit) > 1) + 1)
-        at = lambda byte: len(raw[:byte].decode())
-        return [(at(bounds[r[0]][0]), at(bounds[r[-1]][1])) for r in runs]
+        word = np.frombuffer(b" " + raw.translate(_TABLE) + b" ", np.uint8) != 32
+        bounds = np.flatnonzero(word[1:] != word[:-1])
+        # Code points before each byte.
+        points = np.concatenate([[0], np.cumsum(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)])
+        last = np.append(np.flatnonzero(np.diff(hit) > 1), len(hit) - 1)
+        first = np.append(0, last[:-1] + 1)
+        return list(zip(points[bounds[2 * hit[first]]].tolist(), points[bounds[2 * hit[last] + 1]].tolist(), strict=True))
+
+
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(key: str, items: list[tuple[object, bytes]], window: int) -> Matcher:
+    """The worker's matcher for these items, built once for all its tasks."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = Matcher(items, window)
+    return _built[key]
 
 
 def matcher_items(items: DataFrame) -> list[tuple[object, bytes]]:
@@ -92,16 +103,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     spans: the covered [start, end) code points of the original text.
     Null or wordless texts have no words and no hits; repeated rows each give a row; empty tables give no rows or no hits.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((matcher_items(items), window))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, matcher_items(items), window))
 
     def run(batches):
-        matcher = Matcher(*sent.value)
+        matcher = _matcher(*sent.value)
         for batch in batches:
             out = []
             for raw in as_bytes(batch.column(1)):
                 n, hit, of = matcher.scan(raw)
                 names = sorted(str(x) for x in of if x is not None)
-                spans = [{"start": a, "end": b} for a, b in matcher.spans(raw.decode())] if len(hit) else []
+                spans = [{"start": a, "end": b} for a, b in matcher.spans(raw, hit)] if len(hit) else []
                 out.append((n, len(hit), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), len(hit) > 0, spans))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
@@ -114,11 +125,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs (text, ...) without any hit, all columns kept; null and empty texts stay."""
-    sent = docs.sparkSession.sparkContext.broadcast((matcher_items(items), window))
+    sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, matcher_items(items), window))
     at = docs.columns.index("text")
 
     def run(batches):
-        matcher = Matcher(*sent.value)
+        matcher = _matcher(*sent.value)
         for batch in batches:
             yield batch.filter(pa.array([not len(matcher.scan(raw)[1]) for raw in as_bytes(batch.column(at))], pa.bool_()))
 
