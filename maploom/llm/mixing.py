@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from maploom.llm.shared import n_words, written
+from maploom.llm.shared import fresh, n_words, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -127,5 +127,6 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: int = MOST,
     """
     key = F.xxhash64("doc_id", "source", "text")
     sizes = docs.select(key.alias("key"), "source", n_words(F.col("text")).alias("size")).groupBy("key", "source").agg(F.sum("size").alias("size"))
-    often = copies(written(sizes, "sizes"), weights, most, seed).where("copies > 0").select(F.col("key").alias("_mix_key"), F.col("copies").alias("_mix_copies"))
-    return docs.withColumn("_mix_key", key).join(often, "_mix_key").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+    mark, often_as, nth = fresh(docs, "key", "copies", "nth")
+    often = copies(written(sizes, "sizes"), weights, most, seed).where("copies > 0").select(F.col("key").alias(mark), F.col("copies").alias(often_as))
+    return docs.withColumn(mark, key).join(often, mark).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(often_as)))).select(*docs.columns)

@@ -60,6 +60,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str]) -
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with as many marks behind them as it takes for docs to have no such column."""
+    have, out = {c.lower() for c in docs.columns}, []
+    for n in names:
+        while n in have:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
