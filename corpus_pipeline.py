@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maploom.llm import classifier, decontaminate, mixing, simhash, tokens
 from maploom.llm.queries import tokenizer_path
-from maploom.llm.shared import new_folder, table, written
+from maploom.llm.shared import fresh, new_folder, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,16 +19,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents whose five-word shingles agree to 0.8 or more, the one with the smallest doc_id
-    stays; of repeated rows with that id, one. Documents without an id can't be named and stay."""
-    groups = simhash.similar_components(docs.select("doc_id", "text").where("doc_id is not null"))
-    keep = written(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "keep")
+    """Of each group of documents whose five-word shingles agree to 0.8 or more, the one with the smallest doc_id stays, null last;
+    of several with that id the one whose text has the least hash; and of rows alike in both, one, by a hash of their other columns."""
+    groups = simhash.similar_components(docs.select("doc_id", "text"))
+    of, text_of, h, rows = fresh(docs, "of", "text_of", "h", "rows")
+    keep = groups.where("doc_id <=> component_id and h = component_h").groupBy(F.col("doc_id").alias(of), F.col("h").alias(text_of)).agg(F.count("*").alias(rows))
     # Which ids stay grows with the documents, so they are never sent to every task, not at small sizes either.
-    kept = docs.join(keep.hint("merge"), "doc_id")
-    # Repeated rows are few and go to a task by id; the others are not dealt out again.
-    once = kept.where("_rows = 1").select(*docs.columns)
-    again = kept.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionAll(again).unionAll(docs.where("doc_id is null").select(*docs.columns))
+    kept = docs.withColumn(h, F.xxhash64("text")).join(written(keep, "keep").hint("merge"), F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(h) == F.col(text_of)))
+    # Repeated rows are few and go to a task by id, one from each task that has any; the others are not dealt out again.
+    once = kept.where(F.col(rows) == 1).select(*docs.columns)
+    by = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*by)).alias(rows)
+    return once.unionAll(kept.where(F.col(rows) > 1).groupBy(of, text_of).agg(row).select(f"{rows}.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
