@@ -129,6 +129,17 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in prints else chr(next(rest)) for b in range(256)}
 
 
+def cut_at_blanks(text: bytes, most: int = PIECE):
+    """Pieces of about `most` bytes, each but the first beginning with white space."""
+    at = 0
+    while at < len(text):
+        end = at + most
+        while end < len(text) and (text[end] not in b" \t\n\v\f\r" or text[end - 1] in b" \t\n\v\f\r"):
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 class Encoder:
     """Token ids as little-endian numbers, the same as the library gives for the whole text.
 
@@ -206,22 +217,13 @@ class Encoder:
                 out[i] = x.tobytes() if n == 0 else x[1:].tobytes()
         return out
 
-    def _pieces(self, text: bytes):
-        at = 0
-        while at < len(text):
-            end = at + PIECE
-            while end < len(text) and text[end] not in b" \t\n\v\f\r":
-                end += 1
-            yield text[at:end]
-            at = end
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out, part, held = [], [], 0
         for text in texts:
             if len(text) > 2 * PIECE:
                 out += self._encode(part)
                 part, held = [], 0
-                out.append(b"".join(x for p in self._pieces(text) for x in self._encode([p])))
+                out.append(b"".join(x for p in cut_at_blanks(text) for x in self._encode([p])))
                 continue
             part.append(text)
             held += len(text)
