@@ -165,8 +165,11 @@ def references(docs: DataFrame, least_words: int = JS_LEAST_WORDS, common: int =
 
     # Sums are built in each task first: no row of a language waits for another.
     rows = _texts(docs).mapInArrow(run, "lang string, item string, class boolean, n long").groupBy("lang", "class", "item").agg(F.sum("n").alias("n"))
-    first = F.row_number().over(Window.partitionBy("lang", "class").orderBy(F.col("n").desc(), "item"))
-    return rows.withColumn("at", F.when(F.col("class"), F.lit(0)).otherwise(first)).where(F.col("at") <= common).select("lang", "item", "class", "n")
+    rows = written(rows, "sums")
+    # Each task hands on its own most frequent words only: a filter right above the window is a limit below the shuffle too.
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "item"))
+    frequent = rows.where(~F.col("class")).withColumn("at", first).where(F.col("at") <= common)
+    return frequent.drop("at").unionByName(rows.where("class")).select("lang", "item", "class", "n")
 
 
 def distances(docs: DataFrame, refs: DataFrame, least_words: int = JS_LEAST_WORDS) -> DataFrame:
