@@ -13,9 +13,10 @@ from maploom.functions.frames import Frame
 from maploom.functions.scales import is_index
 from maploom.operators.focal import padded_by_edge, quads
 from maploom.operators.graph import ranked
+from maploom.plans.storage import stored
 
-#: Segments of one level that a single task may chain; levels beyond it are chained by joins.
-MOST_SEGMENTS = 2_000_000
+#: Rows and columns of a block, within which a task chains a level's segments; their pieces are chained by joins.
+BLOCK = 512
 
 
 def nudged(level: Column) -> Column:
@@ -64,11 +65,13 @@ def march(cells: DataFrame, ncols: int, interval: float | None = None, levels: S
     return rows.select("level", F.col("s.key").alias("ka"), F.col("t.key").alias("kb"), F.col("s.x").alias("ax"), F.col("s.y").alias("ay"), F.col("t.x").alias("bx"), F.col("t.y").alias("by"))
 
 
-_PATHS = "path struct<lo: bigint, hi: bigint>, closed boolean, pts " + shapes.POINTS
+_KEY = "struct<lo: bigint, hi: bigint>"
+_PIECES = f"level double, a {_KEY}, b {_KEY}, closed boolean, pts {shapes.POINTS}, low {_KEY}, low_at int"
 
 
 def _chained(rows: pd.DataFrame) -> pd.DataFrame:
-    """The paths of one group of segments: from starts that are no end first, then rings."""
+    """The pieces of one group of segments: from starts that are no end first, then rings. A ring begins at its least key, and its last
+    point isn't its first again; low is the least key that a piece has, after low_at segments."""
     a = list(zip(rows["a_lo"], rows["a_hi"], strict=True))
     b = list(zip(rows["b_lo"], rows["b_hi"], strict=True))
     ax, ay, bx, by = (rows[n].to_numpy() for n in ("ax", "ay", "bx", "by"))
@@ -86,32 +89,45 @@ def _chained(rows: pd.DataFrame) -> pd.DataFrame:
             i = at.get(b[i])
         closed = b[run[-1]] == a[start]
         pts = [{"x": ax[start], "y": ay[start]}] + [{"x": bx[i], "y": by[i]} for i in run]
-        out.append(({"lo": a[start][0], "hi": a[start][1]}, closed, pts[:-1] if closed else pts))
-    return pd.DataFrame({"level": rows["level"].iloc[0], "path": [o[0] for o in out], "closed": [o[1] for o in out], "pts": [o[2] for o in out]})
+        key = lambda k: {"lo": k[0], "hi": k[1]}
+        least = min(range(len(run)), key=lambda k: a[run[k]])
+        out.append((key(a[start]), key(b[run[-1]]), closed, pts[:-1] if closed else pts, key(a[run[least]]), least))
+    names = ["a", "b", "closed", "pts", "low", "low_at"]
+    return pd.DataFrame({"level": rows["level"].iloc[0]} | {n: [o[i] for o in out] for i, n in enumerate(names)})
 
 
-def chain(segments: DataFrame, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+def chain(segments: DataFrame, block: int = BLOCK) -> DataFrame:
     """level, path, closed, pts: the segments of each level joined end to start, in grid units; rings repeat no point.
 
-    The largest level is counted first: if it fits, each level is chained in one task; else by joins that double their reach.
+    A task chains the segments of one level in one block of the raster, however large that is; the pieces that go on in another
+    block are far fewer, and are ranked along their paths by joins that double their reach. A path's points are gathered at the end.
     """
-    most = segments.groupBy("level").count().agg(F.max("count")).first()[0] or 0
-    if most <= most_segments:
-        flat = segments.select("level", F.col("ka.lo").alias("a_lo"), F.col("ka.hi").alias("a_hi"), F.col("kb.lo").alias("b_lo"), F.col("kb.hi").alias("b_hi"), "ax", "ay", "bx", "by")
-        return flat.groupBy("level").applyInPandas(_chained, "level double, " + _PATHS)
-    return chain_by_joins(segments)
-
-
-def chain_by_joins(segments: DataFrame) -> DataFrame:
-    """chain without ever holding a level in one task before its paths are known; a path's points are gathered at the end."""
-    order = ranked(segments.select("level", F.col("ka").alias("a"), F.col("kb").alias("b")), ["level"])
-    rows = segments.withColumnRenamed("ka", "a").join(order, ["level", "a"])
-    ends = F.array_sort(F.collect_list(F.struct("pos", "a", "ax", "ay", "bx", "by")))
-    got = rows.groupBy("level", "path", "closed").agg(ends.alias("s"))
-    tail = F.transform("s", lambda s: shapes.point(s["bx"], s["by"]))
-    whole = F.concat(F.array(shapes.point(F.col("s")[0]["ax"], F.col("s")[0]["ay"])), tail)
-    pts = F.when(F.col("closed"), F.slice(whole, 1, F.size("s"))).otherwise(whole)
-    return got.select("level", F.col("s")[0]["a"].alias("path"), "closed", pts.alias("pts"))
+    at = lambda p, q, name: F.floor((F.col(p) + F.col(q)) / 2 / block).cast("int").alias(name)
+    flat = segments.select("level", F.col("ka.lo").alias("a_lo"), F.col("ka.hi").alias("a_hi"), F.col("kb.lo").alias("b_lo"), F.col("kb.hi").alias("b_hi"), "ax", "ay", "bx", "by", at("ay", "by", "br"), at("ax", "bx", "bc"))
+    pieces = stored(flat.groupBy("level", "br", "bc").applyInPandas(_chained, _PIECES), "pieces")
+    opened = pieces.where("not closed")
+    starts, ends = opened.select("level", F.col("a").alias("key")), opened.select("level", F.col("b").alias("key"))
+    # Where one piece ends and another starts.
+    met = stored(starts.join(ends, ["level", "key"], "left_semi"), "met")
+    whole = pieces.select("level", F.col("a").alias("path"), "closed", "pts")
+    if not met.limit(1).count():
+        return whole
+    # Pieces that meet none are whole already.
+    hit = lambda side, name: met.select("level", F.col("key").alias(side), F.lit(True).alias(name))
+    marked = opened.join(hit("a", "before"), ["level", "a"], "left").join(hit("b", "after"), ["level", "b"], "left")
+    linked = stored(marked.where("before or after").select("level", "a", "b", "pts", "low", "low_at"), "linked")
+    order = ranked(linked.select("level", "a", "b"), ["level"])
+    got = linked.join(order, ["level", "a"]).groupBy("level", "path", "closed").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "low", "low_at", "pts"))).alias("s"))
+    rest = F.flatten(F.transform("s", lambda s: F.slice(s["pts"], 2, F.size(s["pts"]))))
+    got = got.withColumn("pts", F.concat(F.slice(F.col("s")[0]["pts"], 1, 1), rest))
+    # A ring begins at its least key, wherever the blocks cut it.
+    got = got.withColumn("least", F.array_min(F.transform("s", lambda s: F.struct(s["low"].alias("low"), s["pos"].alias("pos"), s["low_at"].alias("at")))))
+    before = F.aggregate("s", F.lit(0), lambda n, s: n + F.when(s["pos"] < F.col("least.pos"), F.size(s["pts"]) - 1).otherwise(0)) + F.col("least.at")
+    n = F.size("pts") - 1
+    ring = F.concat(F.slice("pts", before + 1, n - before), F.slice("pts", F.lit(1), before))
+    joined = got.select("level", F.when(F.col("closed"), F.col("least.low")).otherwise(F.col("s")[0]["a"]).alias("path"), "closed", F.when(F.col("closed"), ring).otherwise(F.col("pts")).alias("pts"))
+    alone = marked.where("before is null and after is null").select("level", F.col("a").alias("path"), F.lit(False).alias("closed"), "pts")
+    return whole.where("closed").unionByName(alone).unionByName(joined)
 
 
 def clip_to_rectangle(paths: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from maploom.functions import shapes
 from maploom.functions.hashing import cell_random
 from maploom.operators import kernels
-from maploom.operators.paths import as_points, per_path
+from maploom.operators.paths import per_path
 
 #: Spacing of a solid fill, width of a burnt line, rows and symbols that a fill may have.
 SOLID_MM, MOST_ROWS, MOST_SYMBOLS = 0.3, 400, 6000
@@ -248,7 +248,7 @@ def fill(spark: SparkSession, rings: list[np.ndarray], pattern: str = "lines", s
     def cut(p, closed, row):
         for x in kernels.clip_to_rings(p, False, work):
             if kernels.run_length(x) >= min_length:
-                yield (as_points(((x - mid) @ turn.T + mid) if rotation_deg else x),)
+                yield (((x - mid) @ turn.T + mid) if rotation_deg else x,)
 
     return per_path(raw.withColumn("closed", F.lit(False)), [], "pts " + shapes.POINTS, cut)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maploom.functions import shapes
 from maploom.operators import kernels
-from maploom.operators.paths import as_points, per_path
+from maploom.operators.paths import per_path
 
 ADVANCE, ADVANCE_SPACE = 65, 42
 # Strokes of each glyph on a body 100 high, strokes apart by |, points by blanks.
@@ -150,7 +150,7 @@ def place_labels(paths: DataFrame, interval: float, keep: Sequence[str], every:
         level = row["level"]
         nth = abs(math.floor(level / interval + 0.5))
         text = level_label(level, interval) + suffix
-        wanted = bool(row.get("index")) if index_only else nth % max(1, every) == 0
+        wanted = bool(row["index"]) if index_only else nth % max(1, every) == 0
         width, height = text_size(text, size, tracking)
         line = kernels.closed_up(p) if closed else p
         s = kernels.arcs(line)
@@ -202,6 +202,6 @@ def lettered(texts: DataFrame, keep: Sequence[str], size: float, extra: float, *
 
     def run(p, closed, row):
         for ring, _ in kernels.band(p, extra, False):
-            yield True, as_points(ring)
+            yield True, ring
 
     return per_path(rows, [*keep, "pos", "stroke"], "closed boolean, pts " + shapes.POINTS, run)

@@ -8,9 +8,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from maploom.functions import shapes
 from maploom.functions.frames import Frame
@@ -25,43 +27,65 @@ LINE_STYLES: dict[str, list[float] | None] = {
 }
 
 
-def as_array(pts) -> np.ndarray:
-    return np.array([(q["x"], q["y"]) for q in pts], float).reshape(-1, 2)
+class _Row:
+    """One row of a batch by column name; a column is turned to Python when first asked for."""
 
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.batch, self.lists, self.at = batch, {}, 0
 
-def as_points(p: np.ndarray) -> list[dict]:
-    return [{"x": float(x), "y": float(y)} for x, y in p]
+    def __getitem__(self, name: str):
+        if name not in self.lists:
+            self.lists[name] = self.batch.column(name).to_pylist()
+        return self.lists[name][self.at]
 
 
-def per_path(df: DataFrame, keep: Sequence[str], extra: str, fn: Callable[[np.ndarray, bool, dict], Iterator[tuple]]) -> DataFrame:
-    """keep columns and those of the schema extra, for each tuple that fn(points, closed, row) yields; a null path yields none."""
-    keep = list(keep)
-    names = keep + [x.split()[0] for x in _split(extra)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [extra])
+def point_arrays(column: pa.Array) -> list[np.ndarray | None]:
+    """The points of each path of a column, shape (n, 2)."""
+    flat = column.flatten()
+    xy = np.column_stack([flat.field(i).to_numpy(zero_copy_only=False) for i in range(2)]).astype(float) if len(flat) else np.empty((0, 2))
+    sizes = column.value_lengths().to_pylist()
+    out, at = [], 0
+    for n in sizes:
+        out.append(None if n is None else xy[at : at + n])
+        at += n or 0
+    return out
+
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for row in part.to_dict("records"):
-                if row["pts"] is not None:
-                    closed = bool(row.get("closed") or False)
-                    out += [(*(row[k] for k in keep), *x) for x in fn(as_array(row["pts"]), closed, row)]
-            yield pd.DataFrame(out, columns=names)
+def point_column(points: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Points in a row as a column of paths with so many each."""
+    points = np.asarray(points, float).reshape(-1, 2)
+    flat = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(points[:, i])) for i in range(2)], ["x", "y"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat)
 
-    return df.mapInPandas(run, schema)
 
+def _as_column(values: list, kind: pa.DataType) -> pa.Array:
+    if values and isinstance(values[0], np.ndarray):
+        return point_column(np.concatenate(values), np.fromiter(map(len, values), np.int64, len(values)))
+    return pa.array(values, kind)
 
-def _split(schema: str) -> list[str]:
-    """Top-level columns of a schema text."""
-    out, depth, cur = [], 0, ""
-    for ch in schema:
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and not depth:
-            out.append(cur.strip())
-            cur = ""
-        else:
-            cur += ch
-    return out + [cur.strip()]
+
+def per_path(df: DataFrame, keep: Sequence[str], extra: str, fn: Callable[[np.ndarray, bool, _Row], Iterator[tuple]]) -> DataFrame:
+    """keep columns and those of the schema extra, for each tuple that fn(points, closed, row) yields, paths in it as arrays of
+    points; a null path yields none."""
+    keep = list(keep)
+    kinds = to_arrow_schema(T.StructType.fromDDL(extra))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema] + [extra])
+    shut = "closed" in df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, source, out = _Row(batch), [], []
+            for i, p in enumerate(point_arrays(batch.column("pts"))):
+                if p is not None:
+                    row.at = i
+                    got = list(fn(p, bool(shut and row["closed"]), row))
+                    source += [i] * len(got)
+                    out += got
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            held = [batch.column(k).take(pa.array(source, pa.int64())) for k in keep]
+            yield pa.RecordBatch.from_arrays([*held, *(_as_column(list(c), k.type) for c, k in zip(cols, kinds, strict=True))], [*keep, *kinds.names])
+
+    return df.mapInArrow(run, schema)
 
 
 # ---------------------------------------------------------------- arcs
@@ -69,11 +93,12 @@ def _split(schema: str) -> list[str]:
 
 def vertices(paths: DataFrame, keep: Sequence[str]) -> DataFrame:
     """keep, i, x, y, s of each point: s is the distance along the path; a ring's first point comes again at its end."""
+    keep = list(keep)
     ring = F.when(F.col("closed"), F.concat("pts", F.slice("pts", 1, 1))).otherwise(F.col("pts"))
-    lengths = F.transform(shapes.edges(F.col("pts"), F.col("closed")), lambda e: F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
-    # One pass: the running sum is carried in the array itself.
-    sums = F.aggregate(lengths, F.array(F.lit(0.0)), lambda acc, d: F.concat(acc, F.array(F.element_at(acc, -1) + d)))
-    return paths.select(*keep, F.posexplode(F.arrays_zip(ring.alias("p"), sums.alias("s"))).alias("i", "v")).select(*keep, "i", F.col("v.p.x").alias("x"), F.col("v.p.y").alias("y"), F.col("v.s").alias("s"))
+    # Paths alike in keep are told apart while the sums are made.
+    named = paths.withColumn("_path", F.monotonically_increasing_id()).select(*keep, "_path", F.posexplode(ring).alias("i", "p"))
+    points = named.select(*keep, "_path", "i", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    return arc_table(points, ["_path"]).drop("_path")
 
 
 def arc_table(points: DataFrame, keys: Sequence[str], order: str = "i") -> DataFrame:
@@ -152,8 +177,24 @@ def hachures(paths: DataFrame, cells: DataFrame, frame: Frame, keep: Sequence[st
 
 def dashed(paths: DataFrame, pattern: Sequence[float] | None, keep: Sequence[str]) -> DataFrame:
     """keep, mark, pts: the marks of each path."""
-    pattern = list(pattern) if pattern else None
-    return per_path(paths, keep, "mark int, pts " + shapes.POINTS, lambda p, closed, row: ((i, as_points(x)) for i, x in enumerate(kernels.dashes(p, closed, pattern))))
+    keep, pattern = list(keep), list(pattern) if pattern else None
+    shut = "closed" in paths.columns
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in paths.select(*keep).schema] + ["mark int, pts " + shapes.POINTS])
+
+    def run(batches):
+        for batch in batches:
+            closed = batch.column("closed").to_pylist() if shut else [False] * len(batch)
+            for at in range(0, len(batch), 256):
+                part = point_arrays(batch.column("pts").slice(at, 256))
+                made = [(at + i, *kernels.marks(p, bool(closed[at + i]), pattern)) for i, p in enumerate(part) if p is not None]
+                if made:
+                    source, points, sizes = zip(*made, strict=True)
+                    n = [len(x) for x in sizes]
+                    which = pa.array(np.repeat(np.array(source, np.int64), n))
+                    mark = np.concatenate([np.arange(k) for k in n]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(which) for k in keep), pa.array(mark), point_column(np.concatenate(points), np.concatenate(sizes))], [*keep, "mark", "pts"])
+
+    return paths.mapInArrow(run, schema)
 
 
 def styled(paths: DataFrame, style: str, keep: Sequence[str]) -> DataFrame:
@@ -164,7 +205,7 @@ def bands(paths: DataFrame, width: float | str, keep: Sequence[str]) -> DataFram
     """keep, ring, hole, pts: strokes as areas of a width, given or from a column."""
     def run(p, closed, row):
         for i, (r, hole) in enumerate(kernels.band(p, row[width] if isinstance(width, str) else width, closed)):
-            yield i, hole, as_points(r)
+            yield i, hole, r
 
     return per_path(paths, keep, "ring int, hole boolean, pts " + shapes.POINTS, run)
 
@@ -175,7 +216,7 @@ def band_area(rings: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def band_fills(paths: DataFrame, width: float, spacing: float, keep: Sequence[str]) -> DataFrame:
-    return per_path(paths, keep, "line int, pts " + shapes.POINTS, lambda p, closed, row: ((i, as_points(x)) for i, x in enumerate(kernels.band_fill(p, width, spacing, closed))))
+    return per_path(paths, keep, "line int, pts " + shapes.POINTS, lambda p, closed, row: ((i, x) for i, x in enumerate(kernels.band_fill(p, width, spacing, closed))))
 
 
 def gapped(paths: DataFrame, boxes: str, keep: Sequence[str]) -> DataFrame:
@@ -183,7 +224,7 @@ def gapped(paths: DataFrame, boxes: str, keep: Sequence[str]) -> DataFrame:
     def run(p, closed, row):
         given = [(b["cx"], b["cy"], b["hw"], b["hh"], b["angle"]) for b in (row[boxes] if row[boxes] is not None else [])]
         for i, (x, shut) in enumerate(kernels.without_boxes(p, closed, given)):
-            yield i, shut, as_points(x)
+            yield i, shut, x
 
     return per_path(paths, keep, "part int, closed boolean, pts " + shapes.POINTS, run)
 
@@ -223,15 +264,15 @@ def clip_drawing(paths: DataFrame, rings: Column | list[np.ndarray], keep: Seque
 
     def run(p, closed, row):
         if row["_spare"]:
-            yield 0, closed, as_points(p), True
+            yield 0, closed, p, True
             return
         pieces = kernels.clip_to_rings(p, closed, given)
         same = len(pieces) == 1 and len(pieces[0]) == len(p) + closed and np.array_equal(pieces[0][: len(p)], p)
         if same:
-            yield 0, closed, as_points(p), True
+            yield 0, closed, p, True
             return
         for i, x in enumerate(pieces):
-            yield i, False, as_points(x), False
+            yield i, False, x, False
 
     return per_path(rows, keep, "piece int, closed boolean, pts " + shapes.POINTS + ", whole boolean", run)
 

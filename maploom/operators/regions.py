@@ -11,7 +11,7 @@ from maploom.operators import kernels
 from maploom.operators.contours import chain, march, to_map
 from maploom.operators.focal import padded_below
 from maploom.operators.graph import components
-from maploom.operators.paths import as_points, per_path
+from maploom.operators.paths import per_path
 from maploom.plans.storage import stored
 
 
@@ -59,7 +59,7 @@ def region_rings(cells: DataFrame, frame: Frame, threshold: float, min_area: flo
     paths = to_map(paths.withColumn("pts", F.transform("pts", lambda p: shapes.point(p["x"] - 1, p["y"] - 1))), frame)
     box = (frame.origin_x, frame.south, frame.east, frame.origin_y)
     rings = paths.where("closed").select(F.col("path.lo").alias("lo"), F.col("path.hi").alias("hi"), "pts")
-    rings = per_path(rings, ["lo", "hi"], "pts " + shapes.POINTS, lambda p, closed, row: ((as_points(q),) for q in kernels.clip_ring(p, *box)))
+    rings = per_path(rings, ["lo", "hi"], "pts " + shapes.POINTS, lambda p, closed, row: ((q,) for q in kernels.clip_ring(p, *box)))
     rings = rings.select(F.struct("lo", "hi").alias("path"), "pts")
     rings = rings.withColumn("area", shapes.ring_area2(F.col("pts")) / 2).where(F.abs("area") >= frame.cell**2 / 2)
     rings = rings.select("path", "pts", (F.col("area") < 0).alias("hole"), "area")

@@ -217,19 +217,12 @@ def points_at_arc(spark, sf_dir):
     return paths.at_arc(arcs, ["path_id"], at).select("path_id", "at", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), r6("tx", "tx"))
 
 
-@query(with_views("tracks", "rings") + _INSIDE + """, s as (select path_id, i, x ax, y ay, lead(x) over w bx, lead(y) over w by_ from (select path_id, i, x / 15 x, y / 3 y from tracks where path_id % 10 = 0) window w as (partition by path_id order by i)),
+@query(with_views("tracks", "rings") + _INSIDE + """, s as (select path_id, i, x ax, y ay, lead(x) over w bx, lead(y) over w by_ from (select path_id, i, x / 15 x, y / 3 y from tracks) window w as (partition by path_id order by i)),
  k as (select path_id, i, ax, ay, bx, by_, ((e.x1 - ax) * (e.y - e.y1) - (e.y1 - ay) * (e.x - e.x1)) / nullif((bx - ax) * (e.y - e.y1) - (by_ - ay) * (e.x - e.x1), 0) t, ((e.x1 - ax) * (by_ - ay) - (e.y1 - ay) * (bx - ax)) / nullif((bx - ax) * (e.y - e.y1) - (by_ - ay) * (e.x - e.x1), 0) u from s, e where bx is not null),
  c as (select path_id, i, ax, ay, bx, by_, t from k where t > 0 and t < 1 and u between 0 and 1 union select path_id, i, ax, ay, bx, by_, 0 from s where bx is not null union select path_id, i, ax, ay, bx, by_, 1 from s where bx is not null),
  p as (select *, lead(t) over (partition by path_id, i order by t) t1 from c), m as (select path_id, i, t t0, t1, ax + (bx - ax) * (t + t1) / 2 mx, ay + (by_ - ay) * (t + t1) / 2 my from p where t1 - t >= 1e-12)
  select path_id, i, round(t0, 6) t0, round(t1, 6) t1 from m, e where (e.y > my) <> (e.y1 > my) and mx < (e.x1 - e.x) * (my - e.y) / (e.y1 - e.y) + e.x group by path_id, i, t0, t1 having count(*) % 2 = 1""")
 def clip_to_rings(spark, sf_dir):
-    """The paths that its SQL names, a tenth."""
-    return _clipped(spark, sf_dir, fixtures.tracks(spark, sf_dir).where("path_id % 10 = 0"))
-
-
-@query(SQL["clip_to_rings"].replace(" where path_id % 10 = 0", ""))
-def clip_to_rings_whole(spark, sf_dir):
-    """clip_to_rings of all paths."""
     return _clipped(spark, sf_dir, fixtures.tracks(spark, sf_dir))
 
 
@@ -446,8 +439,8 @@ def contour_chains(spark, sf_dir):
 
 @query(with_views("steps") + _CHAINS)
 def contour_chains_by_joins(spark, sf_dir):
-    """The same without any level in one task."""
-    got = contours.chain_by_joins(stored(_steps_segments(spark, sf_dir), "segments"))
+    """The same from small blocks, so that most paths are joined from pieces."""
+    got = contours.chain(stored(_steps_segments(spark, sf_dir), "segments"), block=8)
     n = F.size("pts") - F.when(F.col("closed"), 0).otherwise(1)
     return got.groupBy("level").agg(F.count_if(~F.col("closed")).alias("opened"), F.sum(n).cast("long").alias("segments"), F.round(F.sum(shapes.path_length(F.col("pts"), F.col("closed"))), 3).alias("length"))
 
@@ -500,35 +493,32 @@ def hachure_ticks(spark, sf_dir):
 # ---------------------------------------------------------------- flow
 
 
-def _whole_basin(spark, sf_dir):
+def _basin(spark, sf_dir):
     """The noise raster, as one raster."""
     return fixtures.noise(spark, sf_dir).select(F.lit(1).alias("raster"), "r", "c", F.round(F.col("z").cast("double"), 4).alias("z"))
 
 
-def _basin(spark, sf_dir):
-    """Its first rows, which the SQL of the queries over them names."""
-    return _whole_basin(spark, sf_dir).where("r < 40")
-
-
-@query("with recursive z as (select vec_id::int r, unnest(range(64))::int c, round(unnest(embedding)::double, 4) z from embeddings where vec_id < 40), f as (select r, c, z from z where r in (0, 39) or c in (0, 63)) select count(*) cells, round(sum(z), 4) rim from f")
+@query(with_views("noise") + ", z as (select r, c, round(z::double, 4) z, max(r) over () last from noise) select count(*) cells, round(sum(z), 4) rim from z where r in (0, last) or c in (0, 63)")
 def filled_rim(spark, sf_dir):
     """Filling leaves the rim as it was."""
-    got = flow.fill_depressions(_basin(spark, sf_dir)).where("r in (0, 39) or c in (0, 63)")
+    cells = _basin(spark, sf_dir)
+    last = fixtures.frame_of(cells, 64).nrows - 1
+    got = flow.fill_depressions(cells).where(F.col("r").isin(0, last) | F.col("c").isin(0, 63))
     return got.agg(F.count("*").alias("cells"), F.round(F.sum("filled"), 4).alias("rim"))
 
 
 @query()
 def depressions_filled(spark, sf_dir):
-    return flow.fill_depressions(_whole_basin(spark, sf_dir)).select("r", "c", r6("filled", "filled"))
+    return flow.fill_depressions(_basin(spark, sf_dir)).select("r", "c", r6("filled", "filled"))
 
 
-@query(with_views("noise") + """ , z as (select r, c, round(z::double, 4) z from noise where r < 40), d as (select a.r, a.c, n.r to_r, n.c to_c, pow((a.z - n.z) / dist, 1.1) * wide w from z a, (values (-1,0,1.0,0.5),(1,0,1.0,0.5),(0,-1,1.0,0.5),(0,1,1.0,0.5),(-1,-1,sqrt(2),0.354),(-1,1,sqrt(2),0.354),(1,-1,sqrt(2),0.354),(1,1,sqrt(2),0.354)) v(dr,dc,dist,wide), z n where n.r = a.r + dr and n.c = a.c + dc and n.z < a.z)
+@query(with_views("noise") + """ , z as (select r, c, round(z::double, 4) z from noise), d as (select a.r, a.c, n.r to_r, n.c to_c, pow((a.z - n.z) / dist, 1.1) * wide w from z a, (values (-1,0,1.0,0.5),(1,0,1.0,0.5),(0,-1,1.0,0.5),(0,1,1.0,0.5),(-1,-1,sqrt(2),0.354),(-1,1,sqrt(2),0.354),(1,-1,sqrt(2),0.354),(1,1,sqrt(2),0.354)) v(dr,dc,dist,wide), z n where n.r = a.r + dr and n.c = a.c + dc and n.z < a.z)
  select r, c, to_r, to_c, round(w / sum(w) over (partition by r, c), 6) share from d""")
 def flow_shares(spark, sf_dir):
     return flow.flow_shares(_basin(spark, sf_dir), 1.0, value="z").select("r", "c", "to_r", "to_c", r6("share", "share"))
 
 
-@query("select 2560::bigint cells, 2560.0::double area")
+@query(with_views("noise") + " select count(*) cells, count(*)::double area from noise")
 def flow_total(spark, sf_dir):
     """All the water that falls arrives in the cells that have no lower neighbour."""
     filled = stored(flow.fill_depressions(_basin(spark, sf_dir)), "filled")
@@ -538,30 +528,7 @@ def flow_total(spark, sf_dir):
 
 @query()
 def wetness_index(spark, sf_dir):
-    return flow.wetness(_whole_basin(spark, sf_dir), 1.0).select("r", "c", F.round("v", 5).alias("v"))
-
-
-@query(with_views("noise") + ", z as (select r, c, round(z::double, 4) z, max(r) over () last from noise) select count(*) cells, round(sum(z), 4) rim from z where r in (0, last) or c in (0, 63)")
-def filled_rim_whole(spark, sf_dir):
-    """filled_rim of the whole raster."""
-    cells = _whole_basin(spark, sf_dir)
-    last = fixtures.frame_of(cells, 64).nrows - 1
-    got = flow.fill_depressions(cells).where(F.col("r").isin(0, last) | F.col("c").isin(0, 63))
-    return got.agg(F.count("*").alias("cells"), F.round(F.sum("filled"), 4).alias("rim"))
-
-
-@query(SQL["flow_shares"].replace(" where r < 40", ""))
-def flow_shares_whole(spark, sf_dir):
-    """flow_shares of the whole raster."""
-    return flow.flow_shares(_whole_basin(spark, sf_dir), 1.0, value="z").select("r", "c", "to_r", "to_c", r6("share", "share"))
-
-
-@query(with_views("noise") + " select count(*) cells, count(*)::double area from noise")
-def flow_total_whole(spark, sf_dir):
-    """flow_total of the whole raster."""
-    filled = stored(flow.fill_depressions(_whole_basin(spark, sf_dir)), "filled")
-    area = stored(flow.accumulate(filled, 1.0), "area")
-    return area.agg(F.count("*").alias("cells")).withColumn("area", F.lit(round(flow.water_left(area, filled, 1.0), 3)))
+    return flow.wetness(_basin(spark, sf_dir), 1.0).select("r", "c", F.round("v", 5).alias("v"))
 
 
 # ---------------------------------------------------------------- strokes

@@ -53,7 +53,7 @@ def test_contours_keep_off_holes_and_reach_edges(spark):
 def test_chaining_by_joins_is_the_same(spark):
     seg = contours.march(cone(spark, 8), 129, 3.0, lo=0.0, hi=40.0)
     key = lambda df: sorted((r.level, r.closed, len(r.pts), round(kernels.run_length(np.array([(p.x, p.y) for p in r.pts])), 6), tuple(r.path)) for r in df.collect())
-    assert key(contours.chain(seg)) == key(contours.chain_by_joins(seg))
+    assert key(contours.chain(seg)) == key(contours.chain(seg, block=7)) == key(contours.chain(seg, block=1))
 
 
 def test_focal_values(spark):
@@ -68,21 +68,50 @@ def test_focal_values(spark):
         focal.check_aligned(Frame(3, 3), Frame(3, 3, 1.0, 5.0))
 
 
-def test_filling_and_flow_both_ways(spark):
+def plain_flow(z):
+    """(filled, area) by relaxation, and by cells from the highest down."""
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    at = {k for k in np.ndindex(*z.shape) if not np.isnan(z[k])}
+    w = {k: z[k] if any((k[0] + a, k[1] + b) not in at for a, b in near) else math.inf for k in at}
+    while True:
+        new = {k: min(w[k], max(z[k], min(w.get((k[0] + a, k[1] + b), math.inf) for a, b in near))) for k in at}
+        if new == w:
+            break
+        w = new
+    area = dict.fromkeys(at, 1.0)
+    for r, c in sorted(at, key=lambda k: -w[k]):
+        low = {(r + a, c + b): ((w[r, c] - w[r + a, c + b]) / math.hypot(a, b)) ** 1.1 * (0.354 if a and b else 0.5) for a, b in near if w.get((r + a, c + b), math.inf) < w[r, c]}
+        for to, part in low.items():
+            area[to] += area[r, c] * part / sum(low.values())
+    return w, area
+
+
+@pytest.mark.parametrize("tile", [5, 8, 512])
+def test_filling_and_flow_in_tiles(spark, tile):
+    """Two rasters, one with a basin that drains through many tiles, whatever the size of the tiles."""
     rng = np.random.default_rng(2)
-    grid = np.round(rng.random((17, 19)) * 10, 3)
-    grid[5, 7] = np.nan
-    cells = table(spark, grid)
+    one = np.round(rng.random((17, 19)) * 10, 3)
+    one[5, 7] = np.nan
+    # A spiral wall with one way out.
+    two = np.full((21, 23), 90.0)
+    for i, (a, b) in enumerate([(1, 20), (1, 20)]):
+        two[1 + 2 * i :: 4, a:b] = np.round(rng.random(two[1 + 2 * i :: 4, a:b].shape), 3)
+    two[2::4, 19], two[4::4, 1] = 0.5, 0.5
+    two[0, 0:3], two[12, 10] = 0.0, np.nan
+    cells = table(spark, one).unionAll(table(spark, two).withColumn("raster", F.lit(2)).select(*table(spark, one).columns)).repartition(3)
+    filled = flow.fill_depressions(cells, tile=tile)
+    got = {(x.raster, x.r, x.c): x.filled for x in filled.collect()}
+    area = {(x.raster, x.r, x.c): x.area for x in flow.accumulate(filled, 1.0, tile=tile).collect()}
+    assert len(got) == one.size + two.size
+    names = [r[0] for r in cells.groupBy("raster").count().orderBy("raster").select("raster").collect()]
+    for name, z in zip(names, (one, two), strict=True):
+        w, a = plain_flow(z)
+        assert {k: got[name, *k] for k in np.ndindex(*z.shape)} == {k: w.get(k) for k in np.ndindex(*z.shape)}
+        assert {k: area.get((name, *k)) for k in np.ndindex(*z.shape) if k in a} == pytest.approx(a)
+
+
+def test_pit_is_filled(spark):
     get = lambda df, n: {(r.r, r.c): r[n] for r in df.collect()}
-    one, two = get(flow.fill_depressions(cells), "filled"), get(flow.fill_by_relaxation(cells), "filled")
-    assert one == two and one.pop((5, 7)) is None and all(one[k] >= grid[k] for k in one) and len(one) == grid.size - 1
-    inside = [(r, c) for r, c in one if 0 < r < 16 and 0 < c < 18 and abs(r - 5) > 1 and abs(c - 7) > 1]
-    for r, c in inside:
-        low = min(one[r + i, c + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j)
-        assert one[r, c] == max(grid[r, c], low) or one[r, c] == grid[r, c]
-    filled = flow.fill_depressions(cells)
-    a, b = get(flow.accumulate(filled, 1.0), "area"), get(flow.accumulate_by_rounds(filled, 1.0), "area")
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
     pit = table(spark, [[50 + 0.1 * c if (r, c) != (10, 10) else 40.0 for c in range(21)] for r in range(21)])
     v = get(flow.fill_depressions(pit), "filled")[10, 10]
     assert 45 < v <= 51.1
@@ -239,7 +268,7 @@ def test_flow_queries_take_the_whole_raster(spark, tmp_path):
     assert got == pytest.approx({(r + 1, c + 1): v[r, c] for r in range(68) for c in range(62)}, abs=2e-5)
 
 
-def test_clip_to_rings_whole_clips_every_path(spark, tmp_path):
+def test_clip_to_rings_clips_every_path(spark, tmp_path):
     """One horizontal step a path through the first square, on ids that no tenth holds."""
     import datetime
 
@@ -248,5 +277,5 @@ def test_clip_to_rings_whole_clips_every_path(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
     spark.createDataFrame([(0, 1)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
     # From x = 5 to 15 at y = 5: the square ends at x = 10.
-    got = sorted(tuple(r) for r in queries.clip_to_rings_whole(spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in queries.clip_to_rings(spark, str(tmp_path)).collect())
     assert got == [(k, 0, 0.0, 0.5) for k in (1, 2, 3, 11, 20)]
