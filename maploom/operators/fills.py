@@ -1,7 +1,8 @@
-"""Fill patterns: families of strokes over a box, cut to a region.
+"""Fill patterns: families of strokes over boxes, cut to regions.
 
-A family is a table of strokes made by SQL functions from row and column numbers, so a fill of any size is
-generated on the executors. fill() turns the region, lays the family, keeps what lies inside, and turns back.
+A family is a table of strokes made by SQL functions from row and column numbers, for every region of a table at once, so
+that fills of any number and size are generated on the executors. fill_features() turns each region, lays the family over
+its box, keeps what lies inside, and turns back.
 """
 
 from __future__ import annotations
@@ -11,151 +12,156 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maploom.functions import shapes
 from maploom.functions.hashing import cell_random
 from maploom.operators import kernels
-from maploom.operators.paths import per_path
+from maploom.operators.paths import point_arrays, point_column
 
-#: Spacing of a solid fill, width of a burnt line, rows and symbols that a fill may have.
-SOLID_MM, MOST_ROWS, MOST_SYMBOLS = 0.3, 400, 6000
+#: Spacing of a solid fill, width of a burnt line.
+SOLID_MM = 0.3
 BURN_MM = SOLID_MM * 1.15
 
 
 @dataclass(frozen=True)
 class Box:
-    """What a family covers: a centre and half sizes."""
+    """What a family covers: a centre and half sizes, as columns."""
 
-    cx: float
-    cy: float
-    half: float
-    half_y: float
+    cx: Column
+    cy: Column
+    half: Column
+    half_y: Column
 
-    @classmethod
-    def of(cls, rings: list[np.ndarray]) -> Box:
-        every = np.vstack(rings)
-        (x0, y0), (x1, y1) = every.min(axis=0), every.max(axis=0)
-        return cls((x0 + x1) / 2, (y0 + y1) / 2, math.hypot(x1 - x0, y1 - y0) / 2 + 1, (y1 - y0) / 2 + 1)
 
+def _box() -> Box:
+    """The box in the struct f of a table of regions."""
+    return Box(*(F.col(f"f.{n}") for n in ("cx", "cy", "half", "half_y")))
 
-def _rows(spark: SparkSession, cy: float, half: float, s: float) -> DataFrame:
-    """j and y of rows s apart, j from 0 at the south."""
-    n = math.floor(half / s) + 1
-    return spark.range(2 * n + 1).select(F.col("id").cast("int").alias("j"), (F.lit(cy) + (F.col("id") - n) * s).alias("y"))
 
+def _long(c: Column) -> Column:
+    return c.cast("long")
 
-def _along(rows: DataFrame, start: Column | float, stop: float, step: float, inclusive: bool = False) -> DataFrame:
+
+def _rows(base: DataFrame, cy: Column, half: Column, s: Column) -> DataFrame:
+    """f, j and y of rows s apart, j from 0 at the south."""
+    n = _long(F.floor(half / s)) + 1
+    rows = base.select("*", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), 2 * n)).alias("j"))
+    return rows.select(*base.columns, F.col("j").cast("int").alias("j"), (cy + (F.col("j") - F.col("n")) * s).alias("y"), F.col("n").cast("int").alias("n"))
+
+
+def _along(rows: DataFrame, start: Column, stop: Column, step: Column, inclusive: bool = False) -> DataFrame:
     """Each row times k and x = start + k * step up to stop."""
-    start = start if isinstance(start, Column) else F.lit(start)
-    count = F.floor((F.lit(stop) - start) / step + 1e-9) if inclusive else F.ceil((F.lit(stop) - start) / step - 1e-9) - 1
-    return rows.where(count >= 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), count)).alias("k")).withColumn("x", start + F.col("k") * step)
+    count = F.floor((stop - start) / step + 1e-9) if inclusive else F.ceil((stop - start) / step - 1e-9) - 1
+    return rows.where(count >= 0).select("*", F.explode(F.sequence(F.lit(0).cast("long"), _long(count))).alias("k")).withColumn("x", start + F.col("k") * step)
 
 
 def _line(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return shapes.points((x0, y0), (x1, y1))
 
 
-Family = Callable[[SparkSession, Box, float], DataFrame]
+def _strokes(rows: DataFrame, pts: Column) -> DataFrame:
+    return rows.select("f", pts.alias("pts"))
+
 
+Family = Callable[[DataFrame, Box, Column], DataFrame]
 
-def lines(spark: SparkSession, b: Box, s: float, half_y: float | None = None) -> DataFrame:
-    x0, x1 = F.lit(b.cx - b.half), F.lit(b.cx + b.half)
-    return _rows(spark, b.cy, b.half if half_y is None else half_y, s).select(_line(x0, F.col("y"), x1, F.col("y")).alias("pts"))
 
+def lines(base: DataFrame, b: Box, s: Column, half_y: Column | None = None) -> DataFrame:
+    return _strokes(_rows(base, b.cy, b.half if half_y is None else half_y, s), _line(b.cx - b.half, F.col("y"), b.cx + b.half, F.col("y")))
 
-def double_lines(spark, b, s):
-    x0, x1 = F.lit(b.cx - b.half), F.lit(b.cx + b.half)
-    two = F.explode(F.array(F.col("y"), F.col("y") + 0.28 * s)).alias("y")
-    return _rows(spark, b.cy, b.half, s).select(two).select(_line(x0, F.col("y"), x1, F.col("y")).alias("pts"))
 
+# Fixed values in the families below: shares of the spacing.
+def double_lines(base, b, s):
+    two = _rows(base, b.cy, b.half, s).select("f", F.explode(F.array(F.col("y"), F.col("y") + 0.28 * s)).alias("y"))
+    return _strokes(two, _line(b.cx - b.half, F.col("y"), b.cx + b.half, F.col("y")))
 
-def dashes(spark, b, s, dash=1.5, gap=0.75):
+
+def dashes(base, b, s, dash=1.5, gap=0.75):
     end = b.cx + b.half
-    rows = _along(_rows(spark, b.cy, b.half, s), b.cx - b.half, end, (dash + gap) * s)
-    return rows.select(_line(F.col("x"), F.col("y"), F.least(F.col("x") + dash * s, F.lit(end)), F.col("y")).alias("pts"))
+    rows = _along(_rows(base, b.cy, b.half, s), b.cx - b.half, end, (dash + gap) * s)
+    return _strokes(rows, _line(F.col("x"), F.col("y"), F.least(F.col("x") + dash * s, end), F.col("y")))
 
 
-def dash_dots(spark, b, s):
+def dash_dots(base, b, s):
     end = b.cx + b.half
-    rows = _along(_rows(spark, b.cy, b.half, s), b.cx - b.half, end, 2.4 * s)
-    dash = _line(F.col("x"), F.col("y"), F.least(F.col("x") + 1.4 * s, F.lit(end)), F.col("y"))
+    rows = _along(_rows(base, b.cy, b.half, s), b.cx - b.half, end, 2.4 * s)
+    dash = _line(F.col("x"), F.col("y"), F.least(F.col("x") + 1.4 * s, end), F.col("y"))
     at = F.col("x") + 1.9 * s
     both = F.when(at < end, F.array(dash, _line(at, F.col("y"), at + 0.06 * s, F.col("y")))).otherwise(F.array(dash))
-    return rows.select(F.explode(both).alias("pts"))
+    return _strokes(rows, F.explode(both))
 
 
 def _woven(rows: DataFrame, points: Column) -> DataFrame:
     """One stroke a row from the points at each x."""
-    got = rows.groupBy("j", "y").agg(F.array_sort(F.collect_list(F.struct("k", points.alias("p")))).alias("s"))
-    return got.where(F.size("s") > 1).select(F.transform("s", lambda e: e["p"]).alias("pts"))
+    got = rows.groupBy("f", "j", "y").agg(F.array_sort(F.collect_list(F.struct("k", points.alias("p")))).alias("s"))
+    return _strokes(got.where(F.size("s") > 1), F.transform("s", lambda e: e["p"]))
 
 
-def zigzag(spark, b, s):
-    rows = _along(_rows(spark, b.cy, b.half, s), b.cx - b.half, b.cx + b.half, s, inclusive=True)
+def zigzag(base, b, s):
+    rows = _along(_rows(base, b.cy, b.half, s), b.cx - b.half, b.cx + b.half, s, inclusive=True)
     return _woven(rows, shapes.point(F.col("x"), F.col("y") + F.when(F.col("k") % 2 == 1, 0.38 * s).otherwise(-0.38 * s)))
 
 
-def waves(spark, b, s, length=3.2, height=0.35, alternate=False):
-    rows = _along(_rows(spark, b.cy, b.half, s), b.cx - b.half, b.cx + b.half, length * s / 8, inclusive=True)
+def waves(base, b, s, length=3.2, height=0.35, alternate=False):
+    rows = _along(_rows(base, b.cy, b.half, s), b.cx - b.half, b.cx + b.half, length * s / 8, inclusive=True)
     phase = F.when(F.col("j") % 2 == 1, math.pi).otherwise(0.0) if alternate else F.lit(0.0)
     return _woven(rows, shapes.point(F.col("x"), F.col("y") + height * s * F.sin(2 * math.pi * F.col("x") / (length * s) + phase)))
 
 
-def ripples(spark, b, s):
-    return waves(spark, b, s, 2.0, 0.5, True)
+def ripples(base, b, s):
+    return waves(base, b, s, 2.0, 0.5, True)
 
 
-def scales(spark, b, s):
+def scales(base, b, s):
     r = 0.8 * s
-    start = F.lit(b.cx - b.half) + F.when(F.col("j") % 2 == 1, r * 0.85).otherwise(0.0)
-    rows = _along(_rows(spark, b.cy, b.half, 0.7 * r), start, b.cx + b.half, 2 * r * 0.85)
-    arc = [(F.col("x") + r * math.cos(math.pi * k / 8), F.col("y") + r * 0.55 * math.sin(math.pi * k / 8)) for k in range(9)]
-    return rows.select(shapes.points(*arc).alias("pts"))
+    start = b.cx - b.half + F.when(F.col("j") % 2 == 1, r * 0.85).otherwise(0.0)
+    rows = _along(_rows(base, b.cy, b.half, 0.7 * r), start, b.cx + b.half, 2 * r * 0.85)
+    return _strokes(rows, shapes.points(*[(F.col("x") + r * math.cos(math.pi * k / 8), F.col("y") + r * 0.55 * math.sin(math.pi * k / 8)) for k in range(9)]))
 
 
-def _lattice(spark, ni: int, nj: int) -> DataFrame:
+def _lattice(base: DataFrame, ni: Column, nj: Column) -> DataFrame:
     """All i in -ni..ni and j in -nj..nj."""
-    return spark.range(2 * ni + 1).select((F.col("id") - ni).cast("int").alias("i"), F.explode(F.sequence(F.lit(-nj), F.lit(nj))).alias("j"))
+    span = lambda n: F.explode(F.sequence(-n.cast("int"), n.cast("int")))
+    return base.select("*", span(ni).alias("i")).select("*", span(nj).alias("j"))
 
 
-def herringbone(spark, b, s):
-    n = math.floor(b.half / s) + 1
-    x, y = F.lit(b.cx) + F.col("i") * s, F.lit(b.cy) + F.col("j") * s
+def herringbone(base, b, s):
+    n = F.floor(b.half / s) + 1
+    x, y = b.cx + F.col("i") * s, b.cy + F.col("j") * s
     even = F.pmod(F.col("i") + F.col("j"), F.lit(2)) == 0
-    return _lattice(spark, n, n).select(F.when(even, _line(x, y, x + s, y + s)).otherwise(_line(x, y + s, x + s, y)).alias("pts"))
+    return _strokes(_lattice(base, n, n), F.when(even, _line(x, y, x + s, y + s)).otherwise(_line(x, y + s, x + s, y)))
 
 
-def brick(spark, b, s):
-    n = math.floor(b.half / s) + 1
-    rows = _rows(spark, b.cy, b.half, s).withColumn("odd", F.pmod(F.col("j") - n, F.lit(2)) == 1)
-    joints = _along(rows, F.lit(b.cx - b.half) + F.when(F.col("odd"), s).otherwise(0.0), b.cx + b.half, 2 * s)
-    return lines(spark, b, s).unionByName(joints.select(_line(F.col("x"), F.col("y"), F.col("x"), F.col("y") + s).alias("pts")))
+def brick(base, b, s):
+    rows = _rows(base, b.cy, b.half, s).withColumn("odd", F.pmod(F.col("j") - F.col("n"), F.lit(2)) == 1)
+    joints = _along(rows, b.cx - b.half + F.when(F.col("odd"), s).otherwise(0.0), b.cx + b.half, 2 * s)
+    return lines(base, b, s).unionByName(_strokes(joints, _line(F.col("x"), F.col("y"), F.col("x"), F.col("y") + s)))
 
 
-def honeycomb(spark, b, s):
+def honeycomb(base, b, s):
     a, root = 0.7 * s, math.sqrt(3)
-    ni, nj = math.floor(b.half / (1.5 * a)) + 2, math.floor(b.half / (root * a)) + 2
-    x = F.lit(b.cx) + F.col("i") * 1.5 * a
-    y = F.lit(b.cy) + F.col("j") * root * a + F.when(F.pmod(F.col("i"), F.lit(2)) == 1, root / 2 * a).otherwise(0.0)
-    half = [(x + a * math.cos(math.pi / 3 * k), y + a * math.sin(math.pi / 3 * k)) for k in range(4)]
-    return _lattice(spark, ni, nj).select(shapes.points(*half).alias("pts"))
+    ni, nj = F.floor(b.half / (1.5 * a)) + 2, F.floor(b.half / (root * a)) + 2
+    x = b.cx + F.col("i") * 1.5 * a
+    y = b.cy + F.col("j") * root * a + F.when(F.pmod(F.col("i"), F.lit(2)) == 1, root / 2 * a).otherwise(0.0)
+    return _strokes(_lattice(base, ni, nj), shapes.points(*[(x + a * math.cos(math.pi / 3 * k), y + a * math.sin(math.pi / 3 * k)) for k in range(4)]))
 
 
 def _turned(df: DataFrame, b: Box, *degrees: float) -> DataFrame:
     out = df
     for d in degrees:
-        out = out.unionByName(df.select(shapes.turned(F.col("pts"), F.lit(b.cx), F.lit(b.cy), F.lit(math.radians(d))).alias("pts")))
+        out = out.unionByName(_strokes(df, shapes.turned(F.col("pts"), b.cx, b.cy, F.lit(math.radians(d)))))
     return out
 
 
 #: Families of strokes by name.
 LINE_FAMILIES: dict[str, Family] = {
-    "solid": lambda spark, b, s: lines(spark, b, s, b.half_y), "lines": lambda spark, b, s: lines(spark, b, s, b.half_y), "double": double_lines, "dashes": dashes, "dashdot": dash_dots,
-    "cross": lambda spark, b, s: _turned(lines(spark, b, s), b, 90), "trigrid": lambda spark, b, s: _turned(lines(spark, b, 1.2 * s), b, 60, 120),
+    "solid": lambda base, b, s: lines(base, b, s, b.half_y), "lines": lambda base, b, s: lines(base, b, s, b.half_y), "double": double_lines, "dashes": dashes, "dashdot": dash_dots,
+    "cross": lambda base, b, s: _turned(lines(base, b, s), b, 90), "trigrid": lambda base, b, s: _turned(lines(base, b, 1.2 * s), b, 60, 120),
     "zigzag": zigzag, "waves": waves, "ripples": ripples, "scales": scales, "herringbone": herringbone, "brick": brick, "hex": honeycomb,
-    "interference": lambda spark, b, s: _turned(waves(spark, b, s, 2.6, 0.4), b, 60),
+    "interference": lambda base, b, s: _turned(waves(base, b, s, 2.6, 0.4), b, 60),
 }
 
 
@@ -163,11 +169,11 @@ LINE_FAMILIES: dict[str, Family] = {
 class Scatter:
     """A mark on a lattice: spacing in x and y, whether odd rows stand between, jitter, room it needs, and its strokes."""
 
-    gx: float
-    gy: float
+    gx: Column
+    gy: Column
     stagger: bool
     jitter: float
-    margin: float
+    margin: Column
     make: Callable[[Column, Column, Column], list[Column]]
 
 
@@ -179,22 +185,21 @@ def _tick(x, y, a, ln):
     return _line(x - ln / 2 * F.cos(a), y - ln / 2 * F.sin(a), x + ln / 2 * F.cos(a), y + ln / 2 * F.sin(a))
 
 
-def scatter(name: str, s: float) -> Scatter:
-    lit = F.lit
-    dot, ring, speck = max(0.15, 0.12 * s), 0.45 * s, max(0.12, 0.07 * s)
+def scatter(name: str, s: Column) -> Scatter:
+    dot, ring, speck = F.greatest(F.lit(0.15), 0.12 * s), 0.45 * s, F.greatest(F.lit(0.12), 0.07 * s)
     arm, long_, tall = 0.3 * s, 0.55 * s, 0.62 * s
     w, h = 0.42 * s, 0.65 * s
     reed_w, reed_h = 0.55 * s, 0.45 * s
     made = {
-        "dots": Scatter(s, s, False, 0, dot, lambda x, y, u: [_circle(x, y, lit(dot), 6)]),
-        "rings": Scatter(1.5 * s, 1.3 * s, True, 0, ring, lambda x, y, u: [_circle(x, y, lit(ring), 10)]),
-        "stipple": Scatter(0.62 * s, 0.62 * s, False, 0.45, speck, lambda x, y, u: [_circle(x, y, lit(speck), 5)]),
+        "dots": Scatter(s, s, False, 0, dot, lambda x, y, u: [_circle(x, y, dot, 6)]),
+        "rings": Scatter(1.5 * s, 1.3 * s, True, 0, ring, lambda x, y, u: [_circle(x, y, ring, 10)]),
+        "stipple": Scatter(0.62 * s, 0.62 * s, False, 0.45, speck, lambda x, y, u: [_circle(x, y, speck, 5)]),
         "pebbles": Scatter(1.15 * s, 1.15 * s, True, 0.32, 0.55 * s, lambda x, y, u: [_circle(x, y, (0.22 + 0.3 * u) * s, 9)]),
         "plus": Scatter(1.3 * s, 1.3 * s, True, 0, arm, lambda x, y, u: [_line(x - arm, y, x + arm, y), _line(x, y - arm, x, y + arm)]),
         "ticks": Scatter(0.95 * s, 0.95 * s, False, 0.4, long_, lambda x, y, u: [_tick(x, y, math.pi * u, long_)]),
         "grass": Scatter(1.35 * s, 1.15 * s, True, 0.3, tall, lambda x, y, u: [_line(x, y, x + tall * F.sin(a + (u - 0.5) * 0.35), y + tall * F.cos(a + (u - 0.5) * 0.35)) for a in (-0.32, 0.0, 0.3)]),
-        "marsh": Scatter(2.1 * s, 1.55 * s, True, 0.15, max(reed_w, reed_h), lambda x, y, u: [_line(x - reed_w, y, x + reed_w, y)] + [_line(x + d, y, x + d, y + reed_h) for d in (-0.5 * reed_w, 0.0, 0.5 * reed_w)]),
-        "diamonds": Scatter(1.5 * s, 1.7 * s, True, 0, max(w, h), lambda x, y, u: [shapes.points((x, y - h), (x + w, y), (x, y + h), (x - w, y), (x, y - h))]),
+        "marsh": Scatter(2.1 * s, 1.55 * s, True, 0.15, F.greatest(reed_w, reed_h), lambda x, y, u: [_line(x - reed_w, y, x + reed_w, y)] + [_line(x + d, y, x + d, y + reed_h) for d in (-0.5 * reed_w, F.lit(0.0), 0.5 * reed_w)]),
+        "diamonds": Scatter(1.5 * s, 1.7 * s, True, 0, F.greatest(w, h), lambda x, y, u: [shapes.points((x, y - h), (x + w, y), (x, y + h), (x - w, y), (x, y - h))]),
     }
     return made[name]
 
@@ -203,54 +208,96 @@ SCATTERS = ("dots", "rings", "stipple", "pebbles", "plus", "ticks", "grass", "ma
 PATTERNS = (*LINE_FAMILIES, *SCATTERS, "echo")
 
 
-def scattered(spark: SparkSession, name: str, b: Box, s: float, rings: list[np.ndarray] | None = None) -> DataFrame:
-    """i, j, x, y, pts of a scatter over a box; with rings, only marks that lie inside with their margin."""
+def scattered(base: DataFrame, name: str, b: Box, s: Column, rings: str | None = None, most: int | None = None) -> DataFrame:
+    """f, i, j, x, y, pts of a scatter over the boxes of base (f, ...); with rings, a column of base, only marks that lie inside
+    with their margin. With most, a box that would take more symbols is thinned by halves again until it doesn't: symbols
+    are then left out, and thinned_fills counts such boxes."""
     m = scatter(name, s)
-    gx, gy = m.gx, m.gy
-    while (2 * b.half / gx) * (2 * b.half / gy) > MOST_SYMBOLS:
-        gx, gy = gx * 1.5, gy * 1.5
-    ni, nj = math.floor(b.half / gx) + 1, math.floor(b.half / gy) + 1
-    x, y = F.lit(b.cx) + F.col("i") * gx, F.lit(b.cy) + F.col("j") * gy
+    wider = F.lit(1.0) if most is None else _thinning(b, m, most)
+    gx, gy = m.gx * wider, m.gy * wider
+    ni, nj = F.floor(b.half / gx) + 1, F.floor(b.half / gy) + 1
+    x, y = b.cx + F.col("i") * gx, b.cy + F.col("j") * gy
     if m.stagger:
         x = x + F.when(F.pmod(F.col("j"), F.lit(2)) == 1, gx / 2).otherwise(0.0)
     if m.jitter:
         x = x + (cell_random(F.col("i"), F.col("j"), 1) - 0.5) * m.jitter * gx * 2
         y = y + (cell_random(F.col("i"), F.col("j"), 2) - 0.5) * m.jitter * gy * 2
-    rows = _lattice(spark, ni, nj).select("i", "j", x.alias("x"), y.alias("y"))
+    rows = _lattice(base, ni, nj).withColumn("x", x).withColumn("y", y)
     if rings is not None:
-        given = F.array(*[shapes.points(*[(F.lit(float(p)), F.lit(float(q))) for p, q in r]) for r in rings])
-        for dx, dy in ((0, 0), (-m.margin, 0), (m.margin, 0), (0, -m.margin), (0, m.margin)):
-            rows = rows.where(shapes.in_rings(F.col("x") + dx, F.col("y") + dy, given))
-    return rows.select("i", "j", "x", "y", F.explode(F.array(*m.make(F.col("x"), F.col("y"), cell_random(F.col("i"), F.col("j"), 3)))).alias("pts"))
-
-
-def capped_spacing(spacing: float, half: float) -> float:
-    """The spacing that keeps a fill within MOST_ROWS rows."""
-    return max(spacing, 2 * half / MOST_ROWS)
-
-
-def fill(spark: SparkSession, rings: list[np.ndarray], pattern: str = "lines", spacing: float = 2, rotation_deg: float = 45, min_length: float = 1, solid_mm: float = SOLID_MM) -> DataFrame:
-    """stroke, pts: a region's fill, holes left out by the even-odd rule."""
-    spacing = solid_mm if pattern == "solid" else spacing if spacing > 0 else 2
-    if pattern == "echo":
-        return echo(spark, rings, spacing, min_length)
-    if pattern not in PATTERNS:
+        zero = F.lit(0.0)
+        for dx, dy in ((zero, zero), (-m.margin, zero), (m.margin, zero), (zero, -m.margin), (zero, m.margin)):
+            rows = rows.where(shapes.in_rings(F.col("x") + dx, F.col("y") + dy, F.col(rings)))
+    return rows.select("f", "i", "j", "x", "y", F.explode(F.array(*m.make(F.col("x"), F.col("y"), cell_random(F.col("i"), F.col("j"), 3)))).alias("pts"))
+
+
+def _thinning(b: Box, m: Scatter, most: int) -> Column:
+    """How often 1.5 times the spacing is needed for at most `most` symbols, as a factor."""
+    symbols = (2 * b.half / m.gx) * (2 * b.half / m.gy)
+    return F.pow(F.lit(1.5), F.greatest(F.ceil(F.log(symbols / most) / (2 * math.log(1.5))), F.lit(0)))
+
+
+def regions(features: DataFrame, spacing: Column | float, rotation_deg: Column | float, keep: list[str], most_rows: int | None = None) -> DataFrame:
+    """f (keep..., cx, cy, half, half_y, s, turn, mx, my) and work, the rings turned flat, of features (keep..., rings).
+
+    With most_rows, a spacing that would take more rows is widened to take that many.
+    """
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    rows = features.select(*keep, F.filter("rings", lambda r: F.size(r) > 0).alias("rings"), as_col(spacing).cast("double").alias("s"), F.radians(as_col(rotation_deg).cast("double")).alias("turn")).where(F.size("rings") > 0)
+    bounds = lambda c: shapes.bbox(F.flatten(c))
+    rows = rows.withColumn("b", bounds("rings")).withColumn("mx", (F.col("b.x0") + F.col("b.x1")) / 2).withColumn("my", (F.col("b.y0") + F.col("b.y1")) / 2)
+    rows = rows.withColumn("work", F.transform("rings", lambda r: shapes.turned(r, F.col("mx"), F.col("my"), -F.col("turn")))).withColumn("b", bounds("work"))
+    wide, high = F.col("b.x1") - F.col("b.x0"), F.col("b.y1") - F.col("b.y0")
+    rows = rows.withColumn("half_y", high / 2 + 1)
+    s = F.when(F.col("s") > 0, F.col("s")).otherwise(2.0)
+    s = s if most_rows is None else F.greatest(s, 2 * F.col("half_y") / most_rows)
+    f = F.struct(*keep, ((F.col("b.x0") + F.col("b.x1")) / 2).alias("cx"), ((F.col("b.y0") + F.col("b.y1")) / 2).alias("cy"), (F.hypot(wide, high) / 2 + 1).alias("half"), "half_y", s.alias("s"), "turn", "mx", "my")
+    return rows.select(f.alias("f"), "work")
+
+
+def fill_features(features: DataFrame, keep: list[str], pattern: str = "lines", spacing: Column | float = 2, rotation_deg: Column | float = 45, min_length: float = 1, most_rows: int | None = None, most_symbols: int | None = None) -> DataFrame:
+    """keep, pts: each feature's fill; features (keep..., rings) have an outline and its holes as rings, left out by the even-odd rule.
+
+    Spacing and rotation may differ by feature. Fills are as dense as asked; most_rows and most_symbols, if given, widen and
+    thin those that are denser, see regions and scattered. A feature without points has no fill.
+    """
+    if pattern not in PATTERNS or pattern == "echo":
         raise ValueError(f"unknown fill pattern {pattern!r}")
-    centre = Box.of(rings)
-    a = math.radians(-rotation_deg)
-    turn = np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]])
-    mid = np.array([centre.cx, centre.cy])
-    work = [(r - mid) @ turn + mid for r in rings] if rotation_deg else rings
-    b = Box.of(work)
-    s = capped_spacing(spacing, b.half_y)
-    raw = LINE_FAMILIES[pattern](spark, b, s) if pattern in LINE_FAMILIES else scattered(spark, pattern, b, s, work).select("pts")
-
-    def cut(p, closed, row):
-        for x in kernels.clip_to_rings(p, False, work):
-            if kernels.run_length(x) >= min_length:
-                yield (((x - mid) @ turn.T + mid) if rotation_deg else x,)
-
-    return per_path(raw.withColumn("closed", F.lit(False)), [], "pts " + shapes.POINTS, cut)
+    base = regions(features, SOLID_MM if pattern == "solid" else spacing, rotation_deg, keep, most_rows)
+    b, s = _box(), F.col("f.s")
+    # A stroke finds its feature's rings again by what names the feature.
+    if pattern in LINE_FAMILIES:
+        raw = LINE_FAMILIES[pattern](base.select("f"), b, s)
+    else:
+        raw = scattered(base, pattern, b, s, "work", most_symbols).select("f", "pts")
+    kinds = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in features.select(*keep).schema)
+
+    def cut(key, strokes: pa.Table, region: pa.Table) -> pa.Table:
+        names = [*keep, "pts"]
+        if not strokes.num_rows:
+            return _cut_schema.empty_table()
+        f = region.column("of")[0].as_py()
+        work = [np.array([(p["x"], p["y"]) for p in r]) for r in region.column("work")[0].as_py()]
+        a, mid = f["turn"], np.array([f["mx"], f["my"]])
+        turn = np.array([[math.cos(a), math.sin(a)], [-math.sin(a), math.cos(a)]])
+        out = [(x - mid) @ turn + mid for chunk in strokes.column("pts").chunks for p in point_arrays(chunk) for x in kernels.clip_to_rings(p, False, work) if kernels.run_length(x) >= min_length]
+        held = [pa.array([f[k]] * len(out), _cut_schema.field(k).type) for k in keep]
+        pts = point_column(np.concatenate(out) if out else np.empty((0, 2)), np.array([len(x) for x in out], np.int64))
+        return pa.Table.from_arrays([*held, pts], names)
+
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = f"{kinds + ', ' if kinds else ''}pts {shapes.POINTS}"
+    _cut_schema = to_arrow_schema(T.StructType.fromDDL(schema))
+    return raw.groupBy("f").cogroup(base.select(F.col("f").alias("of"), "work").groupBy("of")).applyInArrow(cut, schema)
+
+
+def fill(spark: SparkSession, rings: list[np.ndarray], pattern: str = "lines", spacing: float = 2, rotation_deg: float = 45, min_length: float = 1, most_rows: int | None = None, most_symbols: int | None = None) -> DataFrame:
+    """pts: the fill of one region held by the driver."""
+    if pattern == "echo":
+        return echo(spark, rings, spacing if spacing > 0 else 2, min_length)
+    one = spark.createDataFrame([(0, [[(float(x), float(y)) for x, y in r] for r in rings])], f"id int, rings array<{shapes.POINTS}>")
+    return fill_features(one, ["id"], pattern, spacing, rotation_deg, min_length, most_rows, most_symbols).select("pts")
 
 
 def distance_field(spark: SparkSession, rings: list[np.ndarray], cell: float) -> tuple[DataFrame, int, int, float, float]:
@@ -273,14 +320,15 @@ def distance_field(spark: SparkSession, rings: list[np.ndarray], cell: float) ->
     return rows.select("r", "c", F.when(shapes.in_rings(F.col("x"), F.col("y"), given), best).otherwise(-best).alias("z")), nrows, ncols, west, north
 
 
-def echo(spark: SparkSession, rings: list[np.ndarray], spacing: float, min_length: float) -> DataFrame:
-    """Lines inside a region at whole spacings from its edge: the contours of its distance field."""
+def echo(spark: SparkSession, rings: list[np.ndarray], spacing: float, min_length: float, most_cells: int | None = None) -> DataFrame:
+    """Lines inside a region at whole spacings from its edge: the contours of its distance field, a quarter of the spacing fine.
+    With most_cells, a field with more cells along its longer side is made coarser."""
     from maploom.functions.frames import Frame
     from maploom.operators.contours import trace
 
     every = np.vstack(rings)
     size = every.max(axis=0) - every.min(axis=0)
-    cell = max(spacing / 4, float(size.max()) / 320)
+    cell = spacing / 4 if most_cells is None else max(spacing / 4, float(size.max()) / most_cells)
     field, nrows, ncols, west, north = distance_field(spark, rings, cell)
     top = field.agg(F.max(F.col("z").cast("float"))).first()[0]
     n = math.ceil(top / spacing) - 1

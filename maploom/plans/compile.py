@@ -6,14 +6,14 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maploom.functions import shapes
 from maploom.functions.colour import SHEET_PASS, refuse_restricted
 from maploom.functions.frames import Frame, Sheet
 from maploom.functions.scales import nice_interval
-from maploom.operators import contours, drawing, features, fills, focal, flow, lettering, paths, regions, sampling, symbols
+from maploom.operators import contours, drawing, features, fills, focal, flow, kernels, lettering, paths, regions, sampling, symbols
 from maploom.plans.storage import stored
 
 #: What each stage is drawn with, unless the specification says otherwise.
@@ -29,6 +29,7 @@ DEFAULTS: dict[str, dict] = {
     "halftone": {"enabled": False, "across": 90, "channel": "darkness", "min_radius_mm": 0.2, "licence": "own", "layer": "DLF-00_engrave"},
     "sections": {"enabled": False, "count": 3, "axis": "horizontal", "shared": False, "layer": "DLF-02_score_medium"},
     "features": {"enabled": True},
+    "furniture": {"enabled": False, "scale_bar": True, "north": True, "title_size": 3.2, "label_size": 1.8, "layer": "DLF-02_score_medium"},
     "clip": {"rings": None},
 }
 
@@ -43,7 +44,8 @@ def merged(spec: dict | None) -> dict[str, dict]:
 
 @dataclass
 class Inputs:
-    """Cells of the first raster with their frame; the rest is optional. Features are layers of (kind, rings or points, style)."""
+    """Cells of the first raster with their frame; the rest is optional. Features are layers of (kind, rings or points, style);
+    other is a raster on the same grid, which the source "difference" takes the first one from."""
 
     cells: DataFrame
     frame: Frame
@@ -51,15 +53,18 @@ class Inputs:
     pixels: DataFrame | None = None
     image_size: tuple[int, int] = (0, 0)
     layers: list[dict] = field(default_factory=list)
+    other: DataFrame | None = None
 
 
-def resolve(source: str, inputs: Inputs, other: DataFrame | None = None) -> DataFrame:
+def resolve(source: str, inputs: Inputs) -> DataFrame:
     """r, c, z of a derived surface by name."""
     c, cell = inputs.cells, inputs.frame.cell
     if source == "self":
         return c.select("r", "c", F.col("z").cast("double").alias("z"))
     if source == "difference":
-        return focal.difference(c, other)
+        if inputs.other is None:
+            raise ValueError("a difference needs a second raster")
+        return focal.difference(c, inputs.other)
     made = {"slope": lambda: focal.slope_degrees(c, cell), "tri": lambda: focal.ruggedness(c), "roughness": lambda: focal.roughness(c),
             "twi": lambda: flow.wetness(c.withColumn("raster", F.lit(0)), cell)}[source]()
     return made.select("r", "c", F.col("v").alias("z"))
@@ -157,10 +162,18 @@ def compile_drawing(spark: SparkSession, inputs: Inputs, spec: dict | None = Non
         runs = cut.groupBy("section", "run").agg(F.array_sort(F.collect_list(F.struct("j", sheet.x(F.col("x")).alias("x"), sheet.y(F.col("y")).alias("y")))).alias("s")).where(F.size("s") > 1)
         lines.append(drawing.as_paths(runs.select(F.transform("s", lambda e: shapes.point(e["x"], e["y"])).alias("pts")), q["layer"], "sections"))
 
+    edge_points = shapes.points(*[(F.lit(a), F.lit(b)) for a, b in [(0.0, 0.0), (sheet.width, 0.0), (sheet.width, sheet.height), (0.0, sheet.height)]])
+    edge = spark.range(1).select(edge_points.alias("pts"), F.lit(True).alias("closed"))
     if s["sheet"]["frame"]:
-        corners = [(0.0, 0.0), (sheet.width, 0.0), (sheet.width, sheet.height), (0.0, sheet.height)]
-        edge = spark.range(1).select(shapes.points(*[(F.lit(a), F.lit(b)) for a, b in corners]).alias("pts"), F.lit(True).alias("closed"))
         lines.append(drawing.as_paths(edge, SHEET_PASS, "frame", closed="closed", furniture=True))
+    below = ["overlay"] if r["enabled"] else []
+    if below:
+        # Holes for dowels through every sheet; the pair is no mirror image of itself, so that no sheet can lie the wrong way round.
+        for name in [None, *below]:
+            holes = spark.createDataFrame([(x, y, REGISTRATION[2]) for x, y in ((REGISTRATION[0], REGISTRATION[0]), (sheet.width - REGISTRATION[0], sheet.height - REGISTRATION[1]))], "x double, y double, radius double")
+            rounds.append(drawing.as_circles(holes, REGISTRATION_PASS, "registration", name))
+        lines += [drawing.as_paths(edge, SHEET_PASS, "frame", name, "closed", True) for name in below]
+    lines += furniture(spark, s, sheet)
 
     empty = lambda schema: spark.createDataFrame([], schema)
     all_lines = reduce(DataFrame.unionByName, lines) if lines else empty(drawing.PATHS)
@@ -176,8 +189,71 @@ def compile_drawing(spark: SparkSession, inputs: Inputs, spec: dict | None = Non
     return all_lines, all_rounds, sheet
 
 
+# The registration holes' distances from two corners, and their radius, in mm.
+REGISTRATION, REGISTRATION_PASS = (6.0, 10.0, 1.25), "DLF-04_cut_inner"
+
+
+def furniture(spark: SparkSession, s: dict[str, dict], sheet: Sheet) -> list[DataFrame]:
+    """Title, scale bar and north point, each where it fits: inwards from its corner until all its corners lie inside the clip's
+    boundary. A piece that fits nowhere is left out."""
+    g, title = s["furniture"], s["sheet"]["title"]
+    boundary = [np.asarray(ring, float) for ring in s["clip"]["rings"] or []]
+    every = np.vstack(boundary) if boundary else np.array([(0.0, 0.0), (sheet.width, sheet.height)])
+    (x0, y0), (x1, y1) = every.min(axis=0).tolist(), every.max(axis=0).tolist()
+
+    def free(x, y, w, h):
+        px, py = np.array([x, x + w, x + w, x]) + x0, np.array([y, y, y + h, y + h]) + y0
+        return bool(kernels.in_rings(px, py, boundary).all()) if boundary else w <= x1 - x0 and h <= y1 - y0
+
+    inset, strokes, texts = max(s["sheet"]["margin"], 4.0), [], []
+
+    def place(w, h, corner):
+        at = drawing.seek(x1 - x0 - 2 * inset, y1 - y0 - 2 * inset, w, h, lambda x, y, a, b: free(x + inset, y + inset, a, b), corner)
+        return None if at is None else (at[0] + x0 + inset, at[1] + y0 + inset)
+
+    if title:
+        w, h = lettering.text_size(str(title), g["title_size"], 6)
+        if at := place(w, h, "nw"):
+            texts.append((str(title), at[0], at[1], 0.0, float(g["title_size"])))
+    if g["enabled"] and g["scale_bar"]:
+        bar = drawing.scale_bar(sheet)
+        label = g["label_size"]
+        if at := place(bar["mm"], 1.8 + 0.6 + label, "sw"):
+            left, low = min(x for ring in bar["rings"] for x, _ in ring), min(y for ring in bar["rings"] for _, y in ring)
+            strokes += [[(x - left + at[0], y - low + at[1]) for x, y in ring] for ring in bar["rings"]]
+            texts.append((bar["label"], at[0], at[1] + 2.4, 0.0, float(label)))
+    if g["enabled"] and g["north"]:
+        if at := place(10.0, 14.0, "se"):
+            n = drawing.north_point(at[0] + 5, at[1] + 5)
+            strokes += [n["ring"], n["needle"], n["pivot"]]
+            texts.append(("N", at[0] + 5 - lettering.text_size("N", 3.0, 6)[0] / 2, n["label_y"], 0.0, 3.0))
+    out = []
+    if strokes:
+        drawn = spark.createDataFrame([([(float(x), float(y)) for x, y in ring],) for ring in strokes], "pts " + shapes.POINTS).withColumn("closed", F.lit(True))
+        out.append(drawing.as_paths(drawn, g["layer"], "furniture", closed="closed", furniture=True))
+    for size in sorted({t[4] for t in texts}):
+        rows = spark.createDataFrame([(i, *t[:4]) for i, t in enumerate(texts) if t[4] == size], "n int, text string, x double, y double, angle double")
+        out.append(drawing.as_paths(lettering.text_strokes(rows, ["n"], size), g["layer"], "furniture", furniture=True))
+    return out
+
+
+def areas(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, ord, owner, rings: each outline with the holes that lie in it, of rows (keep..., ord, pts[, ring, hole]).
+
+    Without a column hole every row is an outline of its own. Outlines are filled one by one, so those that overlap both show.
+    """
+    named = rows if "ring" in rows.columns else rows.withColumn("ring", F.row_number().over(Window.partitionBy("ord").orderBy(F.xxhash64("pts"))))
+    if "hole" not in rows.columns:
+        return named.select(*keep, "ord", F.col("ring").alias("owner"), F.array("pts").alias("rings"))
+    held = features.group_rings(named.select("ord", "ring", "hole", "pts"), ["ord"])
+    first = named.where("not hole").groupBy("ord").agg(*[F.first(k).alias(k) for k in keep]) if keep else None
+    out = held.groupBy("ord", "owner").agg(F.transform(F.array_sort(F.collect_list(F.struct("hole", "ring", "pts"))), lambda x: x["pts"]).alias("rings"))
+    return out if first is None else out.join(first, "ord", "left")
+
+
 def feature_paths(spark: SparkSession, layer: dict, sheet: Sheet) -> list[DataFrame]:
-    """A feature layer's strokes: points (ord, x, y[, size]) as symbols, lines and areas (ord, pts, closed) outlined or as bands, areas filled."""
+    """A feature layer's strokes: points (ord, x, y[, size]) as symbols, lines and areas (ord, pts[, ring, hole]) outlined or as
+    bands, and each area filled by itself, its holes left out, with its own spacing and rotation if rows have such columns."""
     kind = layer["kind"]
     style = {**features.DEFAULTS[kind], **layer.get("style", {})}
     rows = layer["rows"]
@@ -196,8 +272,16 @@ def feature_paths(spark: SparkSession, layer: dict, sheet: Sheet) -> list[DataFr
         else:
             out.append(drawing.as_paths(flat, style["layer"], "features", closed="closed"))
     if kind == "polygon" and style["pattern"] != "none":
-        # The pattern's own region is held by the driver: one layer's outlines, as the drawing's author drew them.
-        rings = [np.array([(p["x"], p["y"]) for p in r[0]]) for r in flat.select("pts").collect()]
-        if rings:
-            out.append(drawing.as_paths(fills.fill(spark, rings, style["pattern"], style["spacing_mm"], style["rotation_deg"], 0.3), style["layer"], "features"))
+        sized = [k for k in ("spacing", "rotation") if k in rows.columns]
+        regions_ = areas(flat, sized)
+        if style["pattern"] == "echo":
+            # An echo's distance field is made for one region at a time, held by the driver: a layer's outlines, as its author drew them.
+            for row in regions_.select("rings").toLocalIterator():
+                rings = [np.array([(p["x"], p["y"]) for p in r]) for r in row[0]]
+                out.append(drawing.as_paths(fills.echo(spark, rings, style["spacing_mm"], 0.3), style["layer"], "features"))
+        else:
+            spacing = F.coalesce("spacing", F.lit(float(style["spacing_mm"]))) if "spacing" in sized else style["spacing_mm"]
+            turned = F.coalesce("rotation", F.lit(float(style["rotation_deg"]))) if "rotation" in sized else style["rotation_deg"]
+            made = fills.fill_features(regions_, ["ord", "owner"], style["pattern"], spacing, turned, 0.3, style.get("most_rows"), style.get("most_symbols"))
+            out.append(drawing.as_paths(made, style["layer"], "features"))
     return out

@@ -559,17 +559,31 @@ def band_fill_lines(spark, sf_dir):
     return got.groupBy("feature_id", F.col("part").alias("ring")).agg(F.count("*").alias("lines"), F.round(F.sum(shapes.path_length(F.col("pts"))), 6).alias("length"))
 
 
+def _one_box(spark, half: float):
+    """A table with one box around the origin, and its columns."""
+    base = spark.range(1).select(F.struct(*[F.lit(v).alias(n) for n, v in (("cx", 0.0), ("cy", 0.0), ("half", half), ("half_y", half))]).alias("f"))
+    return base, fills.Box(*(F.col(f"f.{n}") for n in ("cx", "cy", "half", "half_y")))
+
+
 @query("""select name pattern, n from (values ('lines', 29::bigint), ('double', 58), ('zigzag', 29), ('herringbone', 841)) v(name, n)""")
 def fill_families(spark, sf_dir):
     """Strokes of a few families over a box of half size 13 at spacing 1."""
-    b = fills.Box(0.0, 0.0, 13.0, 13.0)
+    base, b = _one_box(spark, 13.0)
     out = None
     for name in ("lines", "double", "zigzag", "herringbone"):
-        one = fills.LINE_FAMILIES[name](spark, b, 1.0).agg(F.count("*").alias("n")).select(F.lit(name).alias("pattern"), "n")
+        one = fills.LINE_FAMILIES[name](base, b, F.lit(1.0)).agg(F.count("*").alias("n")).select(F.lit(name).alias("pattern"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query(with_views("rings") + ", q as (select distinct feature_id, 1 + feature_id % 3 s from rings) select feature_id, (2 * floor(7.5 / s) + 1)::bigint strokes, (2 * floor(7.5 / s) + 1) * 15.0::double ink from q")
+def overlapping_fills(spark, sf_dir):
+    """Squares that overlap their neighbours, each filled by itself with a spacing of its own."""
+    outer = fixtures.rings(spark, sf_dir).where("not hole").select(F.col("feature_id").alias("ord"), F.array(F.transform("pts", lambda p: shapes.point(p["x"] + (p["x"] - F.col("pts")[0]["x"]) / 2, p["y"] + (p["y"] - F.col("pts")[0]["y"]) / 2))).alias("rings"))
+    got = fills.fill_features(outer.withColumn("s", 1.0 + F.col("ord") % 3).select("ord", "rings", F.col("s").alias("step")), ["ord"], "lines", F.col("step"), 0, 0)
+    return got.groupBy(F.col("ord").alias("feature_id")).agg(F.count("*").alias("strokes"), F.round(F.sum(shapes.path_length(F.col("pts"))), 6).alias("ink"))
+
+
 @query()
 def fill_all_patterns(spark, sf_dir):
     """Strokes and ink of every pattern inside a square with a hole."""
@@ -586,9 +600,9 @@ def fill_all_patterns(spark, sf_dir):
 @query("with p as (select i, j, i * 1.3 + case when abs(j) % 2 = 1 then 0.65 else 0 end x, j * 1.3::double y from generate_series(-11, 11) a(i), generate_series(-11, 11) b(j)) select i::int i, j::int j, round(x, 6)::double x, round(y, 6)::double y from p where x - 0.3 > -10 and x + 0.3 < 10 and y - 0.3 > -10 and y + 0.3 < 10")
 def scattered_marks(spark, sf_dir):
     """Plus marks on a staggered lattice, inside a square with room for their arms."""
-    box = np.array([(-10, -10), (10, -10), (10, 10), (-10, 10)], float)
-    b = fills.Box(0.0, 0.0, 14.2, 14.2)
-    return fills.scattered(spark, "plus", b, 1.0, [box]).select("i", "j", r6("x", "x"), r6("y", "y")).distinct()
+    base, b = _one_box(spark, 14.2)
+    box = F.array(shapes.points(*[(F.lit(float(x)), F.lit(float(y))) for x, y in ((-10, -10), (10, -10), (10, 10), (-10, 10))]))
+    return fills.scattered(base.withColumn("box", box), "plus", b, F.lit(1.0), "box").select("i", "j", r6("x", "x"), r6("y", "y")).distinct()
 
 
 @query(with_views("trees") + """ , p as (select ord, x, y, unnest([0, 1, 2, 3, 4]) k from trees where x between 0 and 50 and y between 0 and 50) select ord, k::int i, round(x + r * cos(a + rot) , 5) px, round(y + r * sin(a + rot), 5) py from (select ord, x, y, k, 2.0 r, case k % 4 when 0 then 0 when 1 then 1 when 2 then 2 else 3 end * pi() / 2 - 3 * pi() / 4 a, -(ord % 360) * pi() / 180 rot from p)""")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from maploom.functions.frames import Frame, Sheet, fit_scale, from_utm, to_utm
+from maploom.functions import shapes
 from maploom.functions.colour import refuse_restricted
 from maploom.operators import contours, features, fills, flow, focal, kernels, lettering, paths, regions, symbols
 from maploom.plans import queries
@@ -176,6 +177,39 @@ def test_every_pattern_stays_inside(spark):
         fills.fill(spark, [ring], "tartan")
 
 
+def test_overlapping_features_are_filled_one_by_one(spark):
+    """Two squares that overlap, one with a hole: each takes its own ink, with its own spacing."""
+    from maploom.plans.compile import feature_paths
+
+    sheet = Sheet(Frame(100, 100, 1.0, 0.0, 100.0), 1000, 0.0)
+    square = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n)]
+    rows = [(1, 0, False, square(10.0, 10.0, 40.0), 1.0), (1, 1, True, square(20.0, 20.0, 10.0)[::-1], 1.0), (2, 0, False, square(30.0, 30.0, 40.0), None)]
+    table_ = spark.createDataFrame(rows, f"ord int, ring int, hole boolean, pts {shapes.POINTS}, spacing double")
+    style = {"pattern": "lines", "spacing_mm": 2.0, "rotation_deg": 0, "outline": False}
+    ink = lambda r: feature_paths(spark, {"kind": "polygon", "rows": r, "style": style}, sheet)[0].agg(F.sum(shapes.path_length(F.col("pts")))).first()[0]
+    one, two = ink(table_.where("ord = 1")), ink(table_.where("ord = 2"))
+    assert ink(table_) == pytest.approx(one + two)
+    assert one == pytest.approx((40 * 40 - 10 * 10) / 1.0, rel=0.06) and two == pytest.approx(40 * 40 / 2.0, rel=0.06)
+
+
+def test_furniture_registration_and_difference(spark):
+    """A title, scale bar and north point inside the boundary, dowel holes through both sheets, and a difference of two rasters."""
+    from maploom.plans.compile import Inputs, compile_drawing
+
+    frame = Frame(60, 60, 1.0, 0.0, 60.0)
+    cells, other = (synthetic(spark, 60, 60, lambda c, r, k=k: k * F.hypot(c - 30, r - 30)) for k in (2.0, 1.0))
+    spec = {"sheet": {"title": "HILL 7", "scale": 500}, "contours": {"enabled": False}, "regions": {"enabled": True, "threshold": 5.0, "source": "difference"}, "furniture": {"enabled": True}}
+    lines, rounds, sheet = compile_drawing(spark, Inputs(cells, frame, other=other), spec)
+    kinds = {(r.kind, r.sheet): r.n for r in lines.groupBy("kind", "sheet").agg(F.count("*").alias("n")).collect()}
+    assert kinds["furniture", None] > 6 and kinds["frame", None] == kinds["frame", "overlay"] == 1 and kinds["regions", "overlay"] >= 1
+    holes = sorted((r.x, r.y, r.radius) for r in rounds.where("kind = 'registration'").collect())
+    assert holes == sorted([(6.0, 6.0, 1.25), (sheet.width - 6, sheet.height - 10, 1.25)] * 2)
+    box = lines.where("kind = 'furniture'").select(F.explode("pts").alias("p")).agg(F.min("p.x"), F.max("p.x"), F.min("p.y"), F.max("p.y")).first()
+    assert box[0] >= 0 and box[2] >= 0 and box[1] <= sheet.width and box[3] <= sheet.height
+    with pytest.raises(ValueError, match="second raster"):
+        compile_drawing(spark, Inputs(cells, frame), spec)
+
+
 def test_labels_leave_gaps(spark):
     lines = contours.trace(cone(spark), CONE, 2.0, 10.0, 38.0)
     placed = lettering.place_labels(lines, 2.0, ["level", "path", "closed", "pts"], 5, 2.2, 60).cache()
