@@ -16,6 +16,8 @@ def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="maploom-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
