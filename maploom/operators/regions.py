@@ -56,12 +56,12 @@ def region_rings(cells: DataFrame, frame: Frame, threshold: float, min_area: flo
     """
     grid = padded_below(cells, frame.nrows, frame.ncols, threshold).select((F.col("r") + 1).alias("r"), (F.col("c") + 1).alias("c"), "z")
     paths = chain(march(grid, frame.ncols + 2, levels=[threshold]))
-    paths = to_map(paths.withColumn("pts", F.transform("pts", lambda p: shapes.point(p["x"] - 1, p["y"] - 1))), frame)
-    box = (frame.origin_x, frame.south, frame.east, frame.origin_y)
-    rings = paths.where("closed").select(F.col("path.lo").alias("lo"), F.col("path.hi").alias("hi"), "pts")
+    # Cut and measured in cells from the corner, where the numbers are small, and then put on the map, which turns y over.
+    box = (0.0, 0.0, float(frame.ncols), float(frame.nrows))
+    rings = paths.where("closed").select(F.col("path.lo").alias("lo"), F.col("path.hi").alias("hi"), F.transform("pts", lambda p: shapes.point(p["x"] - 1, p["y"] - 1)).alias("pts"))
     rings = per_path(rings, ["lo", "hi"], "pts " + shapes.POINTS, lambda p, closed, row: ((q,) for q in kernels.clip_ring(p, *box)))
-    rings = rings.select(F.struct("lo", "hi").alias("path"), "pts")
-    rings = rings.withColumn("area", shapes.ring_area2(F.col("pts")) / 2).where(F.abs("area") >= frame.cell**2 / 2)
+    rings = rings.select(F.struct("lo", "hi").alias("path"), "pts").withColumn("area", shapes.ring_area2(F.col("pts")) * (-(frame.cell**2) / 2))
+    rings = to_map(rings.where(F.abs("area") >= frame.cell**2 / 2), frame)
     rings = rings.select("path", "pts", (F.col("area") < 0).alias("hole"), "area")
     if min_area > 0:
         least = max(1, int(min_area / frame.cell**2 + 0.5)) * frame.cell**2

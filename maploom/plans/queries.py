@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from maploom.functions import colour, frames, hashing, scales, shapes, text
 from maploom.functions.frames import Frame, Sheet
-from maploom.operators import contours, drawing, features, fills, flow, focal, lettering, paths, regions, sampling, symbols
-from maploom.plans import fixtures
+from maploom.operators import contours, drawing, features, fills, flow, focal, kernels, lettering, paths, regions, sampling, symbols
+from maploom.plans import fixtures, oracles
 from maploom.plans.compile import Inputs, compile_drawing
 from maploom.plans.fixtures import CRS, NORTH, WEST, with_views
 from maploom.plans.storage import stored
@@ -402,15 +402,7 @@ def hatch_field(spark, sf_dir):
 
 # ---------------------------------------------------------------- iso-lines and regions
 
-_MARCH = """, q as (select a.r, a.c, a.z a, b.z b, d.z d, e.z e from steps a join steps b on b.r = a.r and b.c = a.c + 1 join steps d on d.r = a.r + 1 and d.c = a.c join steps e on e.r = a.r + 1 and e.c = a.c + 1),
- l as (select k * 4.0::double lv, k * 4.0::double + (abs(k * 4.0::double) + 1) * 1e-9 L from (select unnest(generate_series(ceil(lo / 4)::bigint, floor(hi / 4)::bigint)) k from (select min(z) lo, max(z) hi from steps))),
- t as (select lv, L, r * 50 + c i0, a z0, (r + 1) * 50 + c i1, d z1, r * 50 + c + 1 i2, b z2 from q, l union all select lv, L, r * 50 + c + 1, b, (r + 1) * 50 + c, d, (r + 1) * 50 + c + 1, e from q, l),
- u as (select *, (z0 > L)::int a0, (z1 > L)::int a1, (z2 > L)::int a2 from t), v as (select *, a0 + a1 + a2 n from u where a0 + a1 + a2 in (1, 2)),
- w as (select *, case when (a0 = 1) = (n = 1) then 0 when (a1 = 1) = (n = 1) then 1 else 2 end k from v),
- x as (select lv, L, n, case k when 0 then i0 when 1 then i1 else i2 end p, case k when 0 then z0 when 1 then z1 else z2 end pz, case k when 0 then i1 when 1 then i2 else i0 end s, case k when 0 then z1 when 1 then z2 else z0 end sz, case k when 0 then i2 when 1 then i0 else i1 end t, case k when 0 then z2 when 1 then z0 else z1 end tz from w),
- m as (select lv, n, least(p, s) l1, greatest(p, s) h1, (L - case when p < s then pz else sz end) / (case when p < s then sz else pz end - case when p < s then pz else sz end) t1, least(p, t) l2, greatest(p, t) h2, (L - case when p < t then pz else tz end) / (case when p < t then tz else pz end - case when p < t then pz else tz end) t2 from x),
- o as (select lv, n, l1, h1, l2, h2, l1 % 50 + t1 * (h1 % 50 - l1 % 50) + 0.5 x1, l1 // 50 + t1 * (h1 // 50 - l1 // 50) + 0.5 y1, l2 % 50 + t2 * (h2 % 50 - l2 % 50) + 0.5 x2, l2 // 50 + t2 * (h2 // 50 - l2 // 50) + 0.5 y2 from m),
- seg as (select lv "level", case when n = 1 then l1 else l2 end a_lo, case when n = 1 then h1 else h2 end a_hi, case when n = 1 then l2 else l1 end b_lo, case when n = 1 then h2 else h1 end b_hi, case when n = 1 then x1 else x2 end ax, case when n = 1 then y1 else y2 end ay, case when n = 1 then x2 else x1 end bx, case when n = 1 then y2 else y1 end "by" from o) """
+_MARCH = oracles.marched("steps", 50, "select k * 4.0::double lv, k * 4.0::double + (abs(k * 4.0::double) + 1) * 1e-9 L from (select unnest(generate_series(ceil(lo / 4)::bigint, floor(hi / 4)::bigint)) k from (select min(z) lo, max(z) hi from steps))")
 
 
 def _steps_segments(spark, sf_dir):
@@ -454,6 +446,16 @@ def contours_traced(spark, sf_dir):
     return got.select("level", "piece", "closed", "index", F.size("pts").alias("n"), F.round(shapes.path_length(F.col("pts"), F.col("closed")), 4).alias("length"))
 
 
+@query(with_views("holed") + oracles.TRACED)
+def contour_lengths(spark, sf_dir):
+    """The same by level: open pieces, segments and length."""
+    cells = fixtures.holed(spark, sf_dir)
+    lo, hi = cells.agg(F.min("z"), F.max("z")).first()
+    got = contours.trace(cells, fixtures.frame_of(cells, 100), scales.nice_step((hi - lo) / 6), lo, hi, 5)
+    n = F.size("pts") - F.when(F.col("closed"), 0).otherwise(1)
+    return got.groupBy("level", "index").agg(F.count_if(~F.col("closed")).alias("opened"), F.sum(n).cast("long").alias("segments"), F.round(F.sum(shapes.path_length(F.col("pts"), F.col("closed"))), 3).alias("length"))
+
+
 _REGIONS = """, b as (select r * 64 + c i, r, c, z from noise where z > 0.15), e as (select a.i x, n.i y from b a join b n on (n.r = a.r and abs(n.c - a.c) = 1) or (n.c = a.c and abs(n.r - a.r) = 1)),
  w as (select i, i root from b union select e.y, w.root from w join e on e.x = w.i where w.root < e.y), g as (select i, min(root) root from w group by i)
  select root::bigint region, count(*) cells, round(avg(z::double), 6) mean, round(max(z)::double, 6) as "max" from g join b using (i) group by root"""
@@ -474,7 +476,7 @@ def region_summary(spark, sf_dir):
     return got.select(F.col("area").cast("long").alias("cells"), F.round(F.col("mean") * F.col("area"), 4).alias("total"))
 
 
-@query()
+@query(with_views("noise").replace("with ", "with recursive ", 1) + oracles.OUTLINES)
 def region_outlines(spark, sf_dir):
     cells = fixtures.noise(spark, sf_dir)
     got = regions.region_rings(cells, fixtures.frame_of(cells, 64), 0.15, 3.0)
@@ -507,7 +509,7 @@ def filled_rim(spark, sf_dir):
     return got.agg(F.count("*").alias("cells"), F.round(F.sum("filled"), 4).alias("rim"))
 
 
-@query()
+@query(with_views("noise").replace("with ", "with recursive ", 1) + oracles.FILLED + " select r, c, round(v, 6) filled from filled")
 def depressions_filled(spark, sf_dir):
     return flow.fill_depressions(_basin(spark, sf_dir)).select("r", "c", r6("filled", "filled"))
 
@@ -526,7 +528,7 @@ def flow_total(spark, sf_dir):
     return area.agg(F.count("*").alias("cells")).withColumn("area", F.lit(round(flow.water_left(area, filled, 1.0), 3)))
 
 
-@query()
+@query(with_views("noise").replace("with ", "with recursive ", 1) + oracles.WETNESS)
 def wetness_index(spark, sf_dir):
     return flow.wetness(_basin(spark, sf_dir), 1.0).select("r", "c", F.round("v", 5).alias("v"))
 
@@ -534,7 +536,7 @@ def wetness_index(spark, sf_dir):
 # ---------------------------------------------------------------- strokes
 
 
-@query()
+@query(with_views("tracks") + oracles.DASHED.format(least=kernels.MIN_MARK_MM))
 def dashed_tracks(spark, sf_dir):
     got = paths.styled(fixtures.track_paths(spark, sf_dir), "dash_dot", ["path_id"])
     return got.groupBy("path_id").agg(F.count("*").alias("marks"), F.round(F.sum(shapes.path_length(F.col("pts"))), 4).alias("ink"))
@@ -655,7 +657,7 @@ def text_measures(spark, sf_dir):
     return lettering.measure(rows, ["n"], 5, 6, "wide").select("n", r6("width", "width"))
 
 
-@query()
+@query(oracles.STROKES)
 def text_strokes(spark, sf_dir):
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_name").alias("text"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.5).alias("angle"))
     got = lettering.text_strokes(rows, ["n"], 5, 6, "middle", "middle")
@@ -848,7 +850,7 @@ def drawing_extents(spark, sf_dir):
     return sinks.extents(*_drawing(spark, sf_dir)).select(*[r6(n, n) for n in ("x0", "y0", "x1", "y1")])
 
 
-@query()
+@query(with_views("rings") + oracles.DXF)
 def dxf_text(spark, sf_dir):
     return sinks.to_dxf(*_drawing(spark, sf_dir), sheet="overlay")
 
@@ -880,19 +882,19 @@ def raster_plans(spark, sf_dir):
     return sinks.raster_plan(rows).select("width", "height", "width_px", "height_px", r6("stroke_mm_drawn", "stroke_mm"), "ok", "best_dpi")
 
 
-@query()
+@query(with_views("rings", "trees") + oracles.PIXELS)
 def engraved_pixels(spark, sf_dir):
     p, c = _drawing(spark, sf_dir)
     got = sinks.engraved(p.where("sheet = 'overlay'"), c, 60.0, 5.0, 0.25)
     return got.groupBy("grey").agg(F.count("*").alias("pixels"))
 
 
-@query()
+@query(with_views("tracks", "rings", "trees") + " " + _TOTALS.replace(" select layer, sum(p)", ", s as (select layer, sum(p)") + ") " + oracles.REPORT.format(totals="select * from s"))
 def report(spark, sf_dir):
     return sinks.report_lines(*_drawing(spark, sf_dir))
 
 
-@query()
+@query(oracles.MATERIAL)
 def material_test(spark, sf_dir):
     t, c = sinks.test_sheet(spark)
     got = lettering.text_strokes(t, ["text", "x", "y", "size"], 2.0)
