@@ -337,3 +337,24 @@ def echo(spark: SparkSession, rings: list[np.ndarray], spacing: float, min_lengt
         return spark.createDataFrame([], "pts " + shapes.POINTS)
     pts = F.when(F.col("closed"), F.concat("pts", F.slice("pts", 1, 1))).otherwise(F.col("pts"))
     return lines_.select(pts.alias("pts")).where(shapes.path_length(F.col("pts")) >= min_length)
+
+
+def solid_rows(rings: DataFrame, keep: list[str], solid_mm: float = SOLID_MM, burn_mm: float = BURN_MM) -> DataFrame:
+    """keep, row, pts: level strokes that fill convex rings (keep..., pts), the first and the last half a burn inside, and the
+    others evenly between them, no further apart than solid_mm. Where a ring is narrower than a burn a dot stands for the
+    stroke, and under 0.05 mm nothing does. A ring that isn't convex is filled from its west to its east edge."""
+    half = burn_mm / 2
+    b = shapes.bbox(F.col("pts"))
+    rows = rings.select(*keep, "pts", b.alias("_b")).where("_b is not null").withColumn("_span", F.col("_b.y1") - F.col("_b.y0") - burn_mm)
+    rows = rows.withColumn("_n", F.when(F.col("_span") > 0, F.ceil(F.col("_span") / solid_mm) + 1).otherwise(1).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("row"))
+    y = F.when(F.col("_n") > 1, F.col("_b.y0") + half + F.col("row") * F.col("_span") / (F.col("_n") - 1)).otherwise((F.col("_b.y0") + F.col("_b.y1")) / 2)
+    rows = rows.withColumn("_y", y)
+    crossed = F.filter(shapes.edges(F.col("pts")), lambda e: (e["a"]["y"] > F.col("_y")) != (e["b"]["y"] > F.col("_y")))
+    at = F.transform(crossed, lambda e: e["a"]["x"] + (F.col("_y") - e["a"]["y"]) / (e["b"]["y"] - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]))
+    rows = rows.withColumn("_x", at).withColumn("_w", F.array_min("_x")).withColumn("_e", F.array_max("_x"))
+    wide = F.col("_e") - F.col("_w")
+    mid = (F.col("_w") + F.col("_e")) / 2
+    stroke = F.when(wide - burn_mm > 1e-9, shapes.points((F.col("_w") + half, F.col("_y")), (F.col("_e") - half, F.col("_y"))))
+    stroke = stroke.when(wide > 0.05, shapes.points((mid, F.col("_y")), (mid + 1e-6, F.col("_y"))))
+    return rows.withColumn("pts", stroke).where("pts is not null").select(*keep, "row", "pts")

@@ -23,7 +23,8 @@ DEFAULTS: dict[str, dict] = {
                  "layer": "DLF-02_score_medium", "index_layer": "DLF-03_score_strong", "label_layer": "DLF-01_score_light"},
     "hachures": {"enabled": False, "layer": "DLF-01_score_light"},
     "photos": {"enabled": True, "mark": "circle", "size": 3.0, "layer": "DLF-03_score_strong"},
-    "regions": {"enabled": False, "threshold": 0.0, "min_area": 0.0, "source": "self", "layer": "DLF-04_cut_inner"},
+    "regions": {"enabled": False, "threshold": 0.0, "min_area": 0.0, "source": "self", "mode": "overlay", "sheet": "overlay", "guide": True, "labels": True, "label_size": 2.2, "layer": "DLF-04_cut_inner",
+                "label_layer": "DLF-01_score_light"},
     "symbols": {"enabled": False, "source": "self", "across": 40, "layer": "DLF-02_score_medium"},
     "hatch": {"enabled": False, "source": "self", "spacing": 4.0, "angle_deg": 45.0, "layer": "DLF-01_score_light"},
     "halftone": {"enabled": False, "across": 90, "channel": "darkness", "min_radius_mm": 0.2, "licence": "own", "layer": "DLF-00_engrave"},
@@ -86,6 +87,26 @@ def _segment(sheet: Sheet):
 def compile_drawing(spark: SparkSession, inputs: Inputs, spec: dict | None = None, export: bool = False) -> tuple[DataFrame, DataFrame, Sheet]:
     """(paths, circles, sheet) in sheet mm, lazily: nothing that isn't switched on is planned, and clipping comes last,
     after everything that looks at a whole raster or places a pattern in the world."""
+    lines, rounds, sheet = assembled(spark, inputs, spec, export)
+    if boundary := clip_rings(merged(spec), sheet):
+        lines = paths.clip_drawing(lines, boundary, KEPT, F.col("furniture")).select(*KEPT, "closed", "pts")
+        rounds = paths.clip_circles(rounds, boundary)
+    return lines, rounds, sheet
+
+
+KEPT = ["layer", "kind", "sheet", "furniture"]
+
+
+def clip_rings(s: dict[str, dict], sheet: Sheet) -> list[np.ndarray]:
+    """The boundary to clip to; none if it misses the sheet, and everything is kept."""
+    boundary = [np.asarray(ring, float) for ring in s["clip"]["rings"] or []]
+    every = np.vstack(boundary) if boundary else np.empty((0, 2))
+    meets = len(every) and every[:, 0].max() >= 0 and every[:, 1].max() >= 0 and every[:, 0].min() <= sheet.width and every[:, 1].min() <= sheet.height
+    return boundary if meets else []
+
+
+def assembled(spark: SparkSession, inputs: Inputs, spec: dict | None = None, export: bool = False) -> tuple[DataFrame, DataFrame, Sheet]:
+    """compile_drawing before clipping."""
     s = merged(spec)
     f = inputs.frame
     sheet = Sheet(f, s["sheet"]["scale"], s["sheet"]["margin"])
@@ -134,9 +155,21 @@ def compile_drawing(spark: SparkSession, inputs: Inputs, spec: dict | None = Non
             lines.append(drawing.as_paths(features.photo_marks(at, ["n"], p["mark"], p["size"]), p["layer"], "photos"))
 
     r = s["regions"]
+    if r["mode"] not in ("overlay", "window"):
+        raise ValueError(f"regions are an overlay or a window, not {r['mode']}")
     if r["enabled"]:
-        found = regions.region_rings(resolve(r["source"], inputs), f, r["threshold"], r["min_area"])
-        lines.append(drawing.as_paths(found.select(_mm(sheet).alias("pts")).withColumn("closed", F.lit(True)), r["layer"], "regions", "overlay", "closed"))
+        surface = resolve(r["source"], inputs)
+        rings = regions.region_rings(surface, f, r["threshold"], r["min_area"]).select(_mm(sheet).alias("pts")).withColumn("closed", F.lit(True))
+        piece = r["sheet"] if r["mode"] == "overlay" else None
+        lines.append(drawing.as_paths(rings, r["layer"], "regions", piece, "closed"))
+        if piece and r["guide"]:
+            # The pieces' places, scored on the surface that they are glued to.
+            lines.append(drawing.as_paths(rings, r["label_layer"], "regions", None, "closed"))
+        if r["labels"]:
+            size = F.abs("mean")
+            text = F.when(size >= 10, F.format_string("%.0f", size)).otherwise(F.format_string("%.1f", size))
+            spot = regions.regions(surface, f, r["threshold"], r["min_area"]).select("region", text.alias("text"), sheet.x(F.col("x")).alias("x"), sheet.y(F.col("y")).alias("y"), F.lit(0.0).alias("angle"))
+            lines.append(drawing.as_paths(lettering.text_strokes(spot, ["region"], r["label_size"], 6, "middle", "middle"), r["label_layer"], "regions", piece))
 
     y = s["symbols"]
     if y["enabled"]:
@@ -166,7 +199,7 @@ def compile_drawing(spark: SparkSession, inputs: Inputs, spec: dict | None = Non
     edge = spark.range(1).select(edge_points.alias("pts"), F.lit(True).alias("closed"))
     if s["sheet"]["frame"]:
         lines.append(drawing.as_paths(edge, SHEET_PASS, "frame", closed="closed", furniture=True))
-    below = ["overlay"] if r["enabled"] else []
+    below = [r["sheet"]] if r["enabled"] and r["mode"] == "overlay" else []
     if below:
         # Holes for dowels through every sheet; the pair is no mirror image of itself, so that no sheet can lie the wrong way round.
         for name in [None, *below]:
@@ -178,14 +211,6 @@ def compile_drawing(spark: SparkSession, inputs: Inputs, spec: dict | None = Non
     empty = lambda schema: spark.createDataFrame([], schema)
     all_lines = reduce(DataFrame.unionByName, lines) if lines else empty(drawing.PATHS)
     all_rounds = reduce(DataFrame.unionByName, rounds) if rounds else empty(drawing.CIRCLES)
-    if s["clip"]["rings"]:
-        boundary = [np.asarray(ring, float) for ring in s["clip"]["rings"]]
-        every = np.vstack(boundary)
-        # A boundary that misses the sheet is refused, and everything is kept.
-        if every[:, 0].max() >= 0 and every[:, 1].max() >= 0 and every[:, 0].min() <= sheet.width and every[:, 1].min() <= sheet.height:
-            keep = ["layer", "kind", "sheet", "furniture"]
-            all_lines = paths.clip_drawing(all_lines, boundary, keep, F.col("furniture")).select(*keep, "closed", "pts")
-            all_rounds = paths.clip_circles(all_rounds, boundary)
     return all_lines, all_rounds, sheet
 
 

@@ -24,6 +24,11 @@ def marched(view: str, ncols: int, levels: str) -> str:
  seg as (select lv "level", case when n = 1 then l1 else l2 end a_lo, case when n = 1 then h1 else h2 end a_hi, case when n = 1 then l2 else l1 end b_lo, case when n = 1 then h2 else h1 end b_hi, case when n = 1 then x1 else x2 end ax, case when n = 1 then y1 else y2 end ay, case when n = 1 then x2 else x1 end bx, case when n = 1 then y2 else y1 end "by" from o) """
 
 
+def nested(name: str, views: str) -> str:
+    """A view that holds others by themselves, so that their names don't meet those outside."""
+    return f", {name} as (with recursive {views.strip().removeprefix(',')} select * from {name})"
+
+
 #: Over holed: its edge cells come again outside, the segments are cut at the raster's extent, and each level is summed up.
 TRACED = (
     """, h as (select z, r + dr + 1 r, c + dc + 1 c from holed, (select max(r) last from holed), (values (-1), (0), (1)) y(dr), (values (-1), (0), (1)) x(dc)
@@ -41,14 +46,13 @@ TRACED = (
 )
 
 #: Over noise, whose values stay below 1.15, from where on an outline would be cut at the edge: rings by their least key, areas by edges.
-OUTLINES = (
+RINGS = (
     """, h as (select r + 1 r, c + 1 c, z::double z from noise union all select b.r, b.c, -0.85::double from (select unnest(range(0, (select max(r) + 3 from noise)::bigint)) r) a(r), (select unnest(range(0, 66)) c) d(c), lateral (select a.r r, d.c c) b
    where b.r in (0, (select max(r) + 2 from noise)) or b.c in (0, 65))"""
     + marched("h", 66, "select 0.15::double lv, 0.15::double + (0.15::double + 1) * 1e-9 L")
     + """, e as materialized (select a_lo::bigint * 10000000 + a_hi a, b_lo::bigint * 10000000 + b_hi b, -(ax * "by" - bx * ay) / 2 area from seg),
  walk(k, root) using key (k) as (select a, a from e union select e.b, w.root from walk w join e on e.a = w.k join recurring.walk now on now.k = e.b where w.root < now.root),
- ring as (select root, count(*) n, sum(area) area from e join walk on k = a group by root)
- select area < 0 hole, n::int n, round(area, 5) area from ring where abs(area) >= 0.5 and (area < 0 or area >= 1.5)"""
+ ring as (select root, count(*) n, sum(area) area from e join walk on k = a group by root) """
 )
 
 #: Over noise: each cell takes the least level over which water leaves it.
@@ -131,3 +135,24 @@ PIXELS = """, e as (select x ax, y ay, coalesce(lead(x) over w, first_value(x) o
 
 #: A line a pass and one for the whole, over the sums of drawing_totals.
 REPORT = "select coalesce(layer, '~') ord, coalesce(layer, 'whole drawing') || ': ' || paths || ' paths, ' || circles || ' circles, ' || vertices || ' vertices, ' || printf('%.0f', run_mm) || ' mm' line from ({totals})"
+
+#: Rows of a square: half a burn inside its edges, no further apart than 0.3 mm.
+SOLID = """, b as (select feature_id, ring, min(x) x0, max(x) x1, min(y) y0, max(y) y1, 0.3 * 1.15::double burn from rings group by feature_id, ring),
+ n as (select *, ceil((y1 - y0 - burn) / 0.3)::bigint n from b), k as (select *, unnest(generate_series(0, n)) "row" from n)
+ select feature_id, ring::int ring, "row"::int "row", round(y0 + burn / 2 + "row" * (y1 - y0 - burn) / n, 6) y, round(x1 - x0 - burn, 6) length from k"""
+
+#: Findings on noise: photographs inside and outside, regions over 0.15, circles a stride apart, three cuts, trees on the sheet.
+FINDINGS = """, f as (select max(r) + 1 nr from noise), p as (select gx between 0 and 64 and gy between 0 and nr inside from (select x - 654000.0::double gx, 7738000.0::double - y gy, nr from u, f)),
+ g as (select r * 64 + c i, r, c, z::double z from noise where z > 0.15), e as (select a.i x, n.i y from g a join g n on (n.r = a.r and abs(n.c - a.c) = 1) or (n.c = a.c and abs(n.r - a.r) = 1)),
+ root as (with recursive w as (select i, i root from g union select e.y, w.root from w join e on e.x = w.i where w.root < e.y) select i, min(root) root from w group by i),
+ stride as (select nr, floor(greatest(nr, 64) / 40 + 0.5)::bigint s from f), range_ as (select min(z)::double lo, max(z)::double hi from noise),
+ dot as (select (c + 0.5) * 5 x, (nr - r - 0.5) * 5 y, s * 2.5 * (0.08 + 0.92 * (z::double - lo) / (hi - lo)) m, nr from noise, stride, range_ where r % s = 7738000 % s and (c + 654000) % s = 0),
+ whole as (select * from dot where x - m >= 0 and x + m <= 320 and y - m >= 0 and y + m <= nr * 5),
+ cut as (select section, count(v) n, 8 / (max(v) - min(v)) exaggeration from v group by section)
+ select stage, what, round(n::double, 4) n from (
+  select 'raster' stage, 'cells' what, count(*) n from noise union all select 'raster', 'measured', count(z) from noise
+  union all select 'photos', 'drawn', count(*) from p where inside union all select 'photos', 'outside', count(*) from p where not inside union all select 'photos', 'without a place', count(*) from photos where lat is null union all select 'photos', 'doubt in mm', 35
+  union all select 'regions', 'regions', count(distinct root) from root union all select 'regions', 'area', count(*) from g union all select 'regions', 'mean', avg(z) from g union all select 'regions', 'rings', count(*) from (select * from ring where abs(area) >= 0.5)
+  union all select 'symbols', 'circles', count(*) from whole union all select 'symbols', 'smallest', 2 * min(m) from whole union all select 'symbols', 'largest', 2 * max(m) from whole union all select 'symbols', 'dropped', (select count(*) from dot) - (select count(*) from whole)
+  union all select 'sections', 'cuts', count(*) from cut union all select 'sections', 'breaks', 0 union all select 'sections', 'exaggeration', avg(exaggeration) from cut
+  union all select 'features trees', 'drawn', count(*) from trees, f where x <= 64 and y <= nr union all select 'features trees', 'off the sheet', count(*) from trees, f where x > 64 or y > nr)"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from maploom.functions import colour, frames, hashing, scales, shapes, text
 from maploom.functions.frames import Frame, Sheet
 from maploom.operators import contours, drawing, features, fills, flow, focal, kernels, lettering, paths, regions, sampling, symbols
-from maploom.plans import fixtures, oracles
+from maploom.plans import findings, fixtures, oracles
 from maploom.plans.compile import Inputs, compile_drawing
 from maploom.plans.fixtures import CRS, NORTH, WEST, with_views
 from maploom.plans.storage import stored
@@ -310,10 +310,12 @@ def fall_lines(spark, sf_dir):
     return got.select("ord", F.round("dx", 5).alias("dx"), F.round("dy", 5).alias("dy"), F.round("slope", 5).alias("slope"))
 
 
-@query(with_views("noise") + """ , f as (select max(r) + 1 nr from noise), b as (select nr, least(greatest(gx, 0.5), 64 - 0.5 - 1e-6) gx, least(greatest(gy, 0.5), nr - 0.5 - 1e-6) gy, section, j from (select nr, section, j, j / 63.0::double * 64 gx, section / 4.0::double * nr gy from f, generate_series(1, 3) s(section), generate_series(0, 63) t(j))),
+_SECTIONS = """ , f as (select max(r) + 1 nr from noise), b as (select nr, least(greatest(gx, 0.5), 64 - 0.5 - 1e-6) gx, least(greatest(gy, 0.5), nr - 0.5 - 1e-6) gy, section, j from (select nr, section, j, j / 63.0::double * 64 gx, section / 4.0::double * nr gy from f, generate_series(1, 3) s(section), generate_series(0, 63) t(j))),
  q as (select section, j, gx - 0.5 - floor(gx - 0.5) fx, gy - 0.5 - floor(gy - 0.5) fy, a.z a, bb.z b, d.z d, e.z e from b left join noise a on a.r = floor(gy - 0.5) and a.c = floor(gx - 0.5) left join noise bb on bb.r = floor(gy - 0.5) and bb.c = floor(gx - 0.5) + 1
-  left join noise d on d.r = floor(gy - 0.5) + 1 and d.c = floor(gx - 0.5) left join noise e on e.r = floor(gy - 0.5) + 1 and e.c = floor(gx - 0.5) + 1), v as (select section, j, (a * (1 - fx) + b * fx) * (1 - fy) + (d * (1 - fx) + e * fx) * fy v from q)
- select section::int section, chr((64 + section)::int) label, count(v) n, round(min(v), 4) lo, round(max(v), 4) hi, round(8 / (max(v) - min(v)), 3) exaggeration from v group by section""")
+  left join noise d on d.r = floor(gy - 0.5) + 1 and d.c = floor(gx - 0.5) left join noise e on e.r = floor(gy - 0.5) + 1 and e.c = floor(gx - 0.5) + 1), v as (select section, j, (a * (1 - fx) + b * fx) * (1 - fy) + (d * (1 - fx) + e * fx) * fy v from q)"""
+
+
+@query(with_views("noise") + _SECTIONS + """ select section::int section, chr((64 + section)::int) label, count(v) n, round(min(v), 4) lo, round(max(v), 4) hi, round(8 / (max(v) - min(v)), 3) exaggeration from v group by section""")
 def sections(spark, sf_dir):
     cells = fixtures.noise(spark, sf_dir)
     got = sampling.sections(cells, fixtures.frame_of(cells, 64), 3)
@@ -476,7 +478,7 @@ def region_summary(spark, sf_dir):
     return got.select(F.col("area").cast("long").alias("cells"), F.round(F.col("mean") * F.col("area"), 4).alias("total"))
 
 
-@query(with_views("noise").replace("with ", "with recursive ", 1) + oracles.OUTLINES)
+@query(with_views("noise").replace("with ", "with recursive ", 1) + oracles.RINGS + "select area < 0 hole, n::int n, round(area, 5) area from ring where abs(area) >= 0.5 and (area < 0 or area >= 1.5)")
 def region_outlines(spark, sf_dir):
     cells = fixtures.noise(spark, sf_dir)
     got = regions.region_rings(cells, fixtures.frame_of(cells, 64), 0.15, 3.0)
@@ -934,3 +936,20 @@ def compiled_drawing(spark, sf_dir):
     p, c, _ = compile_drawing(spark, Inputs(cells, frame, fixtures.photos(spark, sf_dir), layers=layers), spec)
     got = p.groupBy("layer", "kind").agg(F.count("*").alias("n"), F.round(F.sum(shapes.path_length(F.col("pts"), F.col("closed"))), 3).alias("mm"))
     return got.unionByName(c.groupBy("layer", "kind").agg(F.count("*").alias("n"), F.round(F.sum("radius"), 3).alias("mm")))
+
+
+@query(with_views("rings") + oracles.SOLID)
+def solid_rows(spark, sf_dir):
+    got = fills.solid_rows(fixtures.rings(spark, sf_dir), ["feature_id", "ring"])
+    return got.select("feature_id", "ring", "row", r6(F.col("pts")[0]["y"], "y"), r6(F.col("pts")[1]["x"] - F.col("pts")[0]["x"], "length"))
+
+
+@query(with_views("noise", "photos", "trees") + oracles.nested("ring", oracles.RINGS) + oracles.nested("u", _UTM_SQL) + oracles.nested("v", _SECTIONS) + oracles.FINDINGS)
+def stage_findings(spark, sf_dir):
+    """What the stages of a drawing of the noise raster find."""
+    cells = fixtures.noise(spark, sf_dir)
+    frame = fixtures.frame_of(cells, 64)
+    rows = fixtures.trees(spark, sf_dir).select("ord", (WEST + F.col("x")).alias("x"), (F.lit(frame.south) + F.col("y")).alias("y"))
+    spec = {"regions": {"enabled": True, "threshold": 0.15}, "symbols": {"enabled": True}, "sections": {"enabled": True}}
+    found = findings.findings(spark, Inputs(cells, frame, fixtures.photos(spark, sf_dir), layers=[{"kind": "point", "name": "trees", "rows": rows}]), spec)
+    return found.select("stage", "what", F.round("n", 4).alias("n"))
