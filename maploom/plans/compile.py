@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maploom.functions import shapes
 from maploom.functions.colour import SHEET_PASS, refuse_restricted
 from maploom.functions.frames import Frame, Sheet
-from maploom.functions.scales import nice_interval
+from maploom.functions.scales import angle_value, nice_interval, scale_value
 from maploom.operators import contours, drawing, features, fills, focal, flow, kernels, lettering, paths, regions, sampling, symbols
 from maploom.plans.storage import stored
 
@@ -276,22 +276,68 @@ def areas(rows: DataFrame, keep: list[str]) -> DataFrame:
     return out if first is None else out.join(first, "ord", "left")
 
 
+def attributed(layer: dict, style: dict) -> DataFrame:
+    """A layer's rows with a column for each target that style["driven"] names: size, width or spacing in mm, rotation in degrees.
+
+    driven holds target: {field, lo, hi, least, most, mode, offset}; lo and hi are the field's extremes if they aren't given.
+    Values come from the rows, or from layer["attributes"] (ord, field...). Spacing is tightest for the highest value. Where a
+    value is missing the column is null, and the style's fixed measure stands.
+    """
+    rows, driven = layer["rows"], style.get("driven", {})
+    if unknown := set(driven) - {"size", "width", "spacing", "rotation"}:
+        raise KeyError(f"nothing to drive by a field: {', '.join(sorted(unknown))}")
+    if driven and layer.get("attributes") is not None:
+        rows = features.bind(rows, layer["attributes"], sorted({by["field"] for by in driven.values()}))
+    for target, by in driven.items():
+        value = F.col(by["field"]).cast("double")
+        value = F.when(~F.isnan(value), value)
+        if "lo" not in by or "hi" not in by:
+            # One row.
+            rows = rows.join(F.broadcast(rows.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))))
+        lo, hi = (F.lit(float(by[k])) if k in by else F.col(f"_{k}") for k in ("lo", "hi"))
+        if target == "rotation":
+            made = F.degrees(angle_value(value, lo, hi, by.get("mode", "degrees"), by.get("offset", 0)))
+        else:
+            ends = (float(by["most"]), float(by["least"])) if target == "spacing" else (float(by["least"]), float(by["most"]))
+            made = scale_value(value, lo, hi, *ends, by.get("mode", "area" if target == "size" else "linear"))
+        rows = rows.withColumn(target, F.when(value.isNotNull(), made)).drop("_lo", "_hi")
+    return rows
+
+
+def _point_paths(rows: DataFrame, style: dict, sheet: Sheet) -> list[DataFrame]:
+    at = rows.withColumn("x", sheet.x(F.col("x"))).withColumn("y", sheet.y(F.col("y")))
+    radius = F.coalesce(F.col("size").cast("double"), F.lit(float(style["radius_mm"]))) if "size" in rows.columns else style["radius_mm"]
+    turn = F.radians(F.coalesce(F.col("rotation").cast("double"), F.lit(0.0))) if "rotation" in rows.columns else 0.0
+    drawn = features.point_symbols(at, ["ord"], style["symbol"], radius, turn, sheet.width, sheet.height)
+    rings = drawn.withColumn("closed", F.col("pts")[0] == F.element_at("pts", -1))
+    rings = rings.withColumn("pts", F.when(F.col("closed"), F.slice("pts", 1, F.size("pts") - 1)).otherwise(F.col("pts")))
+    pattern = features.LINE_TYPES[style["line_type"]]
+    out = [drawing.as_paths(paths.dashed(rings, pattern, ["ord", "part"]) if pattern else drawn, style["layer"], "features")]
+    if style["pattern"] != "none":
+        areas_ = rings.where("closed").select("ord", "part", F.array("pts").alias("rings"))
+        made = fills.fill_features(areas_, ["ord", "part"], style["pattern"], style["spacing_mm"], 0.0, 0.3, style.get("most_rows"), style.get("most_symbols"))
+        out.append(drawing.as_paths(made, style["layer"], "features"))
+    return out
+
+
 def feature_paths(spark: SparkSession, layer: dict, sheet: Sheet) -> list[DataFrame]:
-    """A feature layer's strokes: points (ord, x, y[, size]) as symbols, lines and areas (ord, pts[, ring, hole]) outlined or as
-    bands, and each area filled by itself, its holes left out, with its own spacing and rotation if rows have such columns."""
+    """A feature layer's strokes: points (ord, x, y) as symbols, outlined and filled like areas; lines and areas (ord, pts[, ring,
+    hole]) outlined or as bands, and each area filled by itself, its holes left out. size, width, spacing and rotation are the
+    rows' own where they have such columns, or are driven by a field (attributed)."""
     kind = layer["kind"]
     style = {**features.DEFAULTS[kind], **layer.get("style", {})}
-    rows = layer["rows"]
+    rows = attributed(layer, style)
     if kind == "point":
-        at = rows.withColumn("x", sheet.x(F.col("x"))).withColumn("y", sheet.y(F.col("y")))
-        radius = F.col("size") if "size" in rows.columns else style["radius_mm"]
-        return [drawing.as_paths(features.point_symbols(at, ["ord"], style["symbol"], radius, 0.0, sheet.width, sheet.height), style["layer"], "features")]
+        return _point_paths(rows, style, sheet)
     flat = rows.withColumn("pts", _mm(sheet)).withColumn("closed", F.lit(kind == "polygon"))
     flat = flat.where(F.exists("pts", lambda p: sheet.holds(p["x"], p["y"])))
     out = []
     if kind == "line" or style["outline"]:
         if style.get("width_mm"):
-            out.append(drawing.as_paths(paths.bands(flat, float(style["width_mm"]), ["ord"]).withColumn("closed", F.lit(True)), style["layer"], "features", closed="closed"))
+            width = float(style["width_mm"])
+            if "width" in rows.columns:
+                flat, width = flat.withColumn("width", F.coalesce(F.col("width").cast("double"), F.lit(width))), "width"
+            out.append(drawing.as_paths(paths.bands(flat, width, ["ord"]).withColumn("closed", F.lit(True)), style["layer"], "features", closed="closed"))
         elif features.LINE_TYPES[style["line_type"]]:
             out.append(drawing.as_paths(paths.dashed(flat, features.LINE_TYPES[style["line_type"]], ["ord"]), style["layer"], "features"))
         else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maploom.functions.frames import Sheet
 from maploom.functions.scales import budget
 from maploom.operators import features, paths, regions, sampling, symbols
-from maploom.plans.compile import NOTES, Inputs, assembled, clip_rings, merged, resolve
+from maploom.plans.compile import NOTES, Inputs, assembled, attributed, clip_rings, merged, resolve
 from maploom.plans.storage import stored
 from maploom.sources.sinks import report_lines
 
@@ -85,7 +85,12 @@ def findings(spark: SparkSession, inputs: Inputs, spec: dict | None = None) -> D
             else:
                 on = F.exists("pts", lambda p: sheet.holds(sheet.x(p["x"]), sheet.y(p["y"])))
             on = F.coalesce(on, F.lit(False))
-            out.append(_rows(rows.agg(F.count_if(on).alias("drawn"), F.count_if(~on).alias("off the sheet")), f"features {layer.get('name', i)}"))
+            counts = [F.count_if(on).alias("drawn"), F.count_if(~on).alias("off the sheet")]
+            driven = layer.get("style", {}).get("driven", {})
+            if driven:
+                rows = attributed(layer, layer["style"])
+                counts.append(F.count_if(reduce(Column.__or__, [F.col(k).isNull() for k in driven]) & on).alias("unmeasured"))
+            out.append(_rows(rows.agg(*counts), f"features {layer.get('name', i)}"))
 
     boundary = clip_rings(s, sheet)
     if s["clip"]["rings"] and not boundary:

@@ -12,7 +12,7 @@ from maploom.functions import colour, frames, hashing, scales, shapes, text
 from maploom.functions.frames import Frame, Sheet
 from maploom.operators import contours, drawing, features, fills, flow, focal, kernels, lettering, paths, regions, sampling, symbols
 from maploom.plans import findings, fixtures, oracles
-from maploom.plans.compile import Inputs, compile_drawing
+from maploom.plans.compile import Inputs, compile_drawing, feature_paths
 from maploom.plans.fixtures import CRS, NORTH, WEST, with_views
 from maploom.plans.storage import stored
 from maploom.sources import sinks, vector
@@ -953,3 +953,14 @@ def stage_findings(spark, sf_dir):
     spec = {"regions": {"enabled": True, "threshold": 0.15}, "symbols": {"enabled": True}, "sections": {"enabled": True}}
     found = findings.findings(spark, Inputs(cells, frame, fixtures.photos(spark, sf_dir), layers=[{"kind": "point", "name": "trees", "rows": rows}]), spec)
     return found.select("stage", "what", F.round("n", 4).alias("n"))
+
+
+@query(with_views("trees") + """ , b as (select min(dbh) lo, max(dbh) hi from trees), r as (select case when dbh is null then 2.0 else sqrt(1 + (dbh - lo) / (hi - lo) * 15) end r from trees, b where x between 0 and 100 and y between 0 and 100)
+ select round(r, 5) radius, count(*) n from r group by 1""")
+def driven_symbols(spark, sf_dir):
+    """Circles of 1 to 4 mm for the trees' girths, of 2 mm for those without one."""
+    rows = fixtures.trees(spark, sf_dir).select("ord", F.col("x") + WEST, F.col("y") + (NORTH - 100)).toDF("ord", "x", "y")
+    style = {"driven": {"size": {"field": "dbh", "least": 1.0, "most": 4.0}}}
+    drawn = feature_paths(spark, {"kind": "point", "rows": rows, "attributes": fixtures.trees(spark, sf_dir).select("ord", "dbh"), "style": style}, Sheet(_FRAME, 1000))[0]
+    b = shapes.bbox(F.col("pts"))
+    return drawn.select(F.round((b["x1"] - b["x0"]) / 2, 5).alias("radius")).groupBy("radius").agg(F.count("*").alias("n"))

@@ -313,3 +313,72 @@ def test_clip_to_rings_clips_every_path(spark, tmp_path):
     # From x = 5 to 15 at y = 5: the square ends at x = 10.
     got = sorted(tuple(r) for r in queries.clip_to_rings(spark, str(tmp_path)).collect())
     assert got == [(k, 0, 0.0, 0.5) for k in (1, 2, 3, 11, 20)]
+
+
+def test_points_and_fills_by_attribute(spark):
+    """Sizes, turns and spacings by a field, with the fixed measure where it's missing; dashed and filled symbols."""
+    from maploom.plans.compile import feature_paths
+
+    sheet = Sheet(Frame(100, 100, 1.0, 0.0, 100.0), 1000)
+    rows = spark.createDataFrame([(1, 20.0, 20.0, 0.0), (2, 50.0, 50.0, 10.0), (3, 80.0, 80.0, None), (4, 500.0, 5.0, 5.0)], "ord int, x double, y double, girth double")
+    wide = lambda r: max(p.x for p in r.pts) - min(p.x for p in r.pts)
+    style = {"symbol": "square", "driven": {"size": {"field": "girth", "lo": 0, "hi": 10, "least": 2, "most": 6, "mode": "linear"}}}
+    drawn = feature_paths(spark, {"kind": "point", "rows": rows, "style": style}, sheet)
+    assert sorted(wide(r) for r in drawn[0].collect()) == pytest.approx(sorted(2 * r / math.sqrt(2) for r in (2, 6, 2)))
+    turned = {"symbol": "square", "driven": {"rotation": {"field": "girth", "offset": 45}}}
+    got = feature_paths(spark, {"kind": "point", "rows": rows.where("ord in (1, 3)"), "style": turned}, sheet)
+    assert sorted(wide(r) for r in got[0].collect()) == pytest.approx([2 * math.sqrt(2), 4.0])
+    dashed, filled = feature_paths(spark, {"kind": "point", "rows": rows.drop("girth"), "style": {"radius_mm": 8.0, "line_type": "dashed", "pattern": "lines", "spacing_mm": 1.0}}, sheet)
+    assert dashed.count() > 9 and filled.agg(F.sum(shapes.path_length(F.col("pts")))).first()[0] == pytest.approx(3 * math.pi * 64, rel=0.06)
+    ring = [(10.0, 10.0), (50.0, 10.0), (50.0, 50.0), (10.0, 50.0)]
+    areas = spark.createDataFrame([(1, ring, 0.0), (2, ring, 4.0), (3, ring, None)], f"ord int, pts {shapes.POINTS}, v double")
+    style = {"pattern": "lines", "spacing_mm": 2.0, "rotation_deg": 0, "outline": False, "driven": {"spacing": {"field": "v", "least": 1.0, "most": 4.0}}}
+    ink = lambda n: feature_paths(spark, {"kind": "polygon", "rows": areas.where(f"ord = {n} or ord = 1 and {n} = 2"), "style": style}, sheet)[0].agg(F.sum(shapes.path_length(F.col("pts")))).first()[0]
+    assert ink(2) == pytest.approx(1600 / 1.0 + 1600 / 4.0, rel=0.06) and ink(3) == pytest.approx(1600 / 2.0, rel=0.06)
+    with pytest.raises(KeyError, match="colour"):
+        feature_paths(spark, {"kind": "point", "rows": rows, "style": {"driven": {"colour": {"field": "girth"}}}}, sheet)
+
+
+def test_region_windows_and_pieces(spark):
+    """Pieces lie on their own sheet with a guide on the surface, windows are cut in the surface; figures stand on either."""
+    from maploom.plans.compile import Inputs, compile_drawing
+
+    frame = Frame(20, 20, 1.0, 0.0, 20.0)
+    cells = synthetic(spark, 20, 20, lambda c, r: F.when((F.abs(c - 10) < 4) & (F.abs(r - 10) < 4), 12.0).otherwise(0.0))
+    spec = lambda **r: {"contours": {"enabled": False}, "regions": {"enabled": True, "threshold": 6.0, **r}}
+    sheets = lambda p: {(r.layer, r.sheet) for r in p.where("kind = 'regions'").select("layer", "sheet").distinct().collect()}
+    p, c, _ = compile_drawing(spark, Inputs(cells, frame), spec(sheet="felt"))
+    assert sheets(p) == {("DLF-04_cut_inner", "felt"), ("DLF-01_score_light", None), ("DLF-01_score_light", "felt")} and c.count() == 4
+    p, c, _ = compile_drawing(spark, Inputs(cells, frame), spec(mode="window", labels=False))
+    assert sheets(p) == {("DLF-04_cut_inner", None)} and c.count() == 0
+    with pytest.raises(ValueError, match="window"):
+        compile_drawing(spark, Inputs(cells, frame), spec(mode="hole"))
+
+
+def test_findings_of_a_clipped_drawing(spark):
+    """What the boundary drops and cuts, marks that are too small, breaks in sections, unmeasured features, and a report's lines."""
+    from maploom.plans.compile import Inputs, compile_drawing
+    from maploom.plans.findings import cutting_report, findings
+
+    frame = Frame(40, 40, 1.0, 0.0, 40.0)
+    cells = synthetic(spark, 40, 40, lambda c, r: F.when((c > 10) & (c < 15), None).otherwise(F.hypot(c - 20, r - 20)))
+    image = spark.range(400).select((F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"), F.lit(10).alias("red"), F.lit(20).alias("green"), F.lit(30).alias("blue"))
+    trees = spark.createDataFrame([(1, 5.0, 5.0, 1.0), (2, 30.0, 5.0, None), (3, 99.0, 5.0, 2.0)], "ord int, x double, y double, girth double")
+    layer = {"kind": "point", "name": "trees", "rows": trees, "style": {"driven": {"size": {"field": "girth", "least": 1.0, "most": 3.0}}}}
+    inputs = Inputs(cells, frame, pixels=image, image_size=(20, 20), layers=[layer])
+    spec = {"sheet": {"scale": 200, "frame": False}, "contours": {"enabled": False}, "sections": {"enabled": True, "count": 3}, "symbols": {"enabled": True, "across": 10},
+            "halftone": {"enabled": True, "across": 10, "min_radius_mm": 50.0}, "clip": {"rings": [[(0, 0), (100, 0), (100, 200), (0, 200)]]}}
+    got = {(r.stage, r.what): r for r in findings(spark, inputs, spec).collect()}
+    n = {k: r.n for k, r in got.items()}
+    assert n["raster", "cells"] == 1600 and n["raster", "measured"] == 1600 - 4 * 40
+    assert n["halftone", "marks"] == 0 and n["halftone", "too small"] == 100 and got["halftone", "budget"].note == "comfortable"
+    assert n["sections", "cuts"] == 3 and n["sections", "breaks"] == 3
+    assert (n["features trees", "drawn"], n["features trees", "off the sheet"], n["features trees", "unmeasured"]) == (2, 1, 1)
+    lines, rounds, _ = compile_drawing(spark, inputs, spec)
+    whole, every, _ = compile_drawing(spark, inputs, {**spec, "clip": {"rings": None}})
+    assert n["clip", "circles dropped"] == every.count() - rounds.count() > 0 and n["clip", "paths dropped"] + lines.count() >= whole.count()
+    assert n["clip", "paths dropped"] > 0 and n["clip", "paths cut"] > 0
+    missed = findings(spark, inputs, {**spec, "clip": {"rings": [[(900, 900), (950, 900), (950, 950)]]}}).where("stage = 'clip'").first()
+    assert missed.n == 0 and "misses" in missed.note
+    text = [r.line for r in cutting_report(spark, inputs, spec, lines, rounds).orderBy("part", "ord").collect()]
+    assert any(line.startswith("sections, breaks: 3") for line in text) and any(line.startswith("whole drawing") for line in text)
