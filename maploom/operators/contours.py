@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from maploom.functions.frames import Frame
 from maploom.functions.scales import is_index
 from maploom.operators.focal import padded_by_edge, quads
 from maploom.operators.graph import ranked
+from maploom.operators.paths import point_column
 from maploom.plans.storage import stored
 
 #: Rows and columns of a block, within which a task chains a level's segments; their pieces are chained by joins.
@@ -69,31 +71,51 @@ _KEY = "struct<lo: bigint, hi: bigint>"
 _PIECES = f"level double, a {_KEY}, b {_KEY}, closed boolean, pts {shapes.POINTS}, low {_KEY}, low_at int"
 
 
-def _chained(rows: pd.DataFrame) -> pd.DataFrame:
+def _chained(rows: pa.Table) -> pa.Table:
     """The pieces of one group of segments: from starts that are no end first, then rings. A ring begins at its least key, and its last
     point isn't its first again; low is the least key that a piece has, after low_at segments."""
-    a = list(zip(rows["a_lo"], rows["a_hi"], strict=True))
-    b = list(zip(rows["b_lo"], rows["b_hi"], strict=True))
-    ax, ay, bx, by = (rows[n].to_numpy() for n in ("ax", "ay", "bx", "by"))
-    at = {k: i for i, k in enumerate(a)}
-    ends, left = set(b), set(range(len(a)))
-    out = []
-    order = sorted(left, key=lambda i: (a[i] in ends, a[i]))
-    for start in order:
-        if start not in left:
-            continue
-        i, run = start, []
-        while i is not None and i in left:
-            left.discard(i)
-            run.append(i)
-            i = at.get(b[i])
-        closed = b[run[-1]] == a[start]
-        pts = [{"x": ax[start], "y": ay[start]}] + [{"x": bx[i], "y": by[i]} for i in run]
-        key = lambda k: {"lo": k[0], "hi": k[1]}
-        least = min(range(len(run)), key=lambda k: a[run[k]])
-        out.append((key(a[start]), key(b[run[-1]]), closed, pts[:-1] if closed else pts, key(a[run[least]]), least))
-    names = ["a", "b", "closed", "pts", "low", "low_at"]
-    return pd.DataFrame({"level": rows["level"].iloc[0]} | {n: [o[i] for o in out] for i, n in enumerate(names)})
+    lo, hi = (np.concatenate([rows[f"{side}_{end}"].to_numpy() for side in "ab"]) for end in ("lo", "hi"))
+    ax, ay, bx, by = (rows[k].to_numpy() for k in ("ax", "ay", "bx", "by"))
+    n = len(ax)
+    # Keys as ranks: starts and ends that are the same share one, and ranks are in the order of the keys.
+    order = np.lexsort((hi, lo))
+    fresh = np.ones(2 * n, bool)
+    fresh[1:] = (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)
+    rank = np.empty(2 * n, np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    a, b = rank[:n], rank[n:]
+    at = np.full(2 * n, -1)
+    at[a] = np.arange(n)
+    follows = np.zeros(2 * n, bool)
+    follows[b] = True
+    after, left = at[b].tolist(), bytearray(b"\1") * n
+    flat: list[int] = []
+    begun = []
+    for i in np.lexsort((a, follows[a])).tolist():
+        if left[i]:
+            begun.append(len(flat))
+            while i >= 0 and left[i]:
+                left[i] = 0
+                flat.append(i)
+                i = after[i]
+    run, start = np.array(flat, np.int64), np.array(begun, np.int64)
+    size = np.diff(start, append=n)
+    first, last = run[start], run[start + size - 1]
+    closed = b[last] == a[first]
+    # Each piece's first point, then where its segments end.
+    head = start + np.arange(len(start))
+    xy = np.empty((n + len(start), 2))
+    inner = np.ones(len(xy), bool)
+    inner[head] = False
+    xy[head], xy[inner] = np.column_stack([ax, ay])[first], np.column_stack([bx, by])[run]
+    whole = np.ones(len(xy), bool)
+    whole[(head + size)[closed]] = False
+    low = np.minimum.reduceat(a[run], start) if n else a
+    low_at = np.flatnonzero(a[run] == np.repeat(low, size)) - start
+    pair = lambda i: pa.StructArray.from_arrays([pa.array(lo[i]), pa.array(hi[i])], ["lo", "hi"])
+    level = pa.array(np.full(len(start), rows["level"][0].as_py() if n else 0.0))
+    columns = [level, pair(first), pair(n + last), pa.array(closed), point_column(xy[whole], size + 1 - closed), pair(run[start + low_at]), pa.array(low_at.astype(np.int32))]
+    return pa.Table.from_arrays(columns, ["level", "a", "b", "closed", "pts", "low", "low_at"])
 
 
 def chain(segments: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -104,7 +126,7 @@ def chain(segments: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     at = lambda p, q, name: F.floor((F.col(p) + F.col(q)) / 2 / block).cast("int").alias(name)
     flat = segments.select("level", F.col("ka.lo").alias("a_lo"), F.col("ka.hi").alias("a_hi"), F.col("kb.lo").alias("b_lo"), F.col("kb.hi").alias("b_hi"), "ax", "ay", "bx", "by", at("ay", "by", "br"), at("ax", "bx", "bc"))
-    pieces = stored(flat.groupBy("level", "br", "bc").applyInPandas(_chained, _PIECES), "pieces")
+    pieces = stored(flat.groupBy("level", "br", "bc").applyInArrow(_chained, _PIECES), "pieces")
     opened = pieces.where("not closed")
     starts, ends = opened.select("level", F.col("a").alias("key")), opened.select("level", F.col("b").alias("key"))
     # Where one piece ends and another starts.
