@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maploom.functions import shapes
 from maploom.functions.frames import Frame, to_utm, utm_zone
 from maploom.functions.scales import angle_value, scale_value
+from maploom.operators.graph import numbered
 from maploom.operators.sampling import bilinear
 
 # Mark, gap lengths in mm of feature lines.
@@ -103,8 +104,8 @@ def group_rings(rings: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def split_photos(photos: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(located, unlocated), the first with n by time taken and name."""
     located = photos.where("lat is not null and lon is not null")
-    n = F.row_number().over(Window.orderBy(F.coalesce("taken", F.lit("")), "name"))
-    return located.withColumn("n", n), photos.where("lat is null or lon is null")
+    named = numbered(located.withColumn("_taken", F.coalesce("taken", F.lit(""))), "n", "_taken", "name").drop("_taken")
+    return named, photos.where("lat is null or lon is null")
 
 
 def place_photos(photos: DataFrame, cells: DataFrame, frame: Frame, zone: int | None = None, south: bool | None = None) -> DataFrame:

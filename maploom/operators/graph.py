@@ -1,10 +1,10 @@
-"""Iterative operators on links: components, and paths out of segments."""
+"""Iterative operators on links: components, paths out of segments; and numbers in an order."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from maploom.plans.storage import stored
@@ -59,3 +59,14 @@ def ranked(links: DataFrame, keys: Sequence[str] = (), max_rounds: int = 64) ->
         every = opened.unionByName(rings.join(turns, [*keys, "a"]).select(*keys, "a", F.col("low").alias("path"), "far", F.lit(True).alias("closed")))
     last = every.groupBy(*keys, "path", "closed").agg(F.max("far").alias("most"))
     return every.join(last, [*keys, "path", "closed"]).select(*keys, "a", "path", (F.col("most") - F.col("far")).cast("int").alias("pos"), "closed")
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with the rows' numbers from 1 on in an order. Rows are dealt by ranges of it, each range is numbered by itself, and the ranges'
+    sizes, a row a partition, say where each begins; so no task holds them all."""
+    dealt = stored(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(begins), "_range").withColumn(name, (own + F.col("_before")).cast("int")).drop("_range", "_before")

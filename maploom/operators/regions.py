@@ -10,7 +10,7 @@ from maploom.functions.frames import Frame
 from maploom.operators import kernels
 from maploom.operators.contours import chain, march, to_map
 from maploom.operators.focal import padded_below
-from maploom.operators.graph import components
+from maploom.operators.graph import components, numbered
 from maploom.operators.paths import per_path
 from maploom.plans.storage import stored
 
@@ -40,8 +40,7 @@ def regions(cells: DataFrame, frame: Frame, threshold: float, min_area: float =
     number = F.col("r").cast("long") * frame.ncols + F.col("c")
     best = F.max_by(F.struct("r", "c"), F.struct(F.col("z"), -number))
     by = label_cells(cells, threshold, frame.ncols).groupBy("region").agg(F.count("*").alias("cells"), F.avg("z").alias("mean"), F.max("z").alias("max"), best.alias("at")).where(F.col("cells") >= least)
-    n = F.row_number().over(Window.orderBy("region"))
-    return by.select(n.alias("n"), "region", "cells", (F.col("cells") * frame.cell**2).alias("area"), "mean", "max", frame.easting(F.col("at.c")).alias("x"), frame.northing(F.col("at.r")).alias("y"))
+    return numbered(by, "n", "region").select("n", "region", "cells", (F.col("cells") * frame.cell**2).alias("area"), "mean", "max", frame.easting(F.col("at.c")).alias("x"), frame.northing(F.col("at.r")).alias("y"))
 
 
 def region_summary(found: DataFrame) -> DataFrame:

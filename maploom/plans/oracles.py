@@ -156,3 +156,11 @@ FINDINGS = """, f as (select max(r) + 1 nr from noise), p as (select gx between
   union all select 'symbols', 'circles', count(*) from whole union all select 'symbols', 'smallest', 2 * min(m) from whole union all select 'symbols', 'largest', 2 * max(m) from whole union all select 'symbols', 'dropped', (select count(*) from dot) - (select count(*) from whole)
   union all select 'sections', 'cuts', count(*) from cut union all select 'sections', 'breaks', 0 union all select 'sections', 'exaggeration', avg(exaggeration) from cut
   union all select 'features trees', 'drawn', count(*) from trees, f where x <= 64 and y <= nr union all select 'features trees', 'off the sheet', count(*) from trees, f where x > 64 or y > nr)"""
+
+#: Over seg: paths are what segments link, and a station stands every two cells, the first after one.
+STATIONS = """, ends as materialized (select "level", a_lo::bigint * 100000000 + a_hi a, b_lo::bigint * 100000000 + b_hi b, sqrt(pow(bx - ax, 2) + pow("by" - ay, 2)) d from seg),
+ link as materialized (select "level", a, b from ends union all select "level", b, a from ends),
+ walk("level", k, root) using key ("level", k) as (select "level", k, k from (select distinct "level", a k from link) union
+  select l."level", l.b, min(w.root) from walk w join link l on l."level" = w."level" and l.a = w.k join recurring.walk now on now."level" = l."level" and now.k = l.b where w.root < now.root group by 1, 2),
+ whole as (select e."level", root, sum(d) mm from ends e join walk w on w."level" = e."level" and w.k = e.a group by 1, 2)
+ select "level", count(*) paths, sum(ceil(mm / 2 - 0.5))::bigint stations from whole group by 1"""

@@ -485,15 +485,29 @@ def region_outlines(spark, sf_dir):
     return got.select("hole", F.size("pts").alias("n"), F.round("area", 5).alias("area"))
 
 
+def _steps_lines(spark, sf_dir):
+    cells = fixtures.steps(spark, sf_dir)
+    lo, hi = cells.agg(F.min("z"), F.max("z")).first()
+    frame = fixtures.frame_of(cells, 50)
+    return cells, frame, stored(contours.trace(cells, frame, 4.0, lo, hi, edge="centres"), "lines")
+
+
 @query()
 def hachure_ticks(spark, sf_dir):
-    cells = fixtures.synthetic(spark, 48, 64, lambda c, r: 40 - 0.5 * F.hypot(c - 32, r - 24))
-    frame = Frame(48, 64, 1.0, WEST, NORTH)
-    lines = contours.trace(cells, frame, 4.0, 20.0, 40.0)
-    got = paths.hachures(stored(lines, "lines"), cells, frame, ["level", "path", "piece"])
+    """Ticks along the contours of the raster of steps."""
+    cells, frame, lines = _steps_lines(spark, sf_dir)
+    got = paths.hachures(lines, cells, frame, ["level", "path", "piece"])
     return got.select("level", "k", F.round(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")), 5).alias("length"), F.round("slope", 5).alias("slope"))
 
 
+@query(with_views("steps").replace("with ", "with recursive ", 1) + _MARCH + oracles.STATIONS)
+def contour_stations(spark, sf_dir):
+    """Where ticks may stand: paths of each level and the points two cells apart along them."""
+    _, _, lines = _steps_lines(spark, sf_dir)
+    at = paths.stations(lines, 2.0, ["level", "path"]).groupBy("level").agg(F.count("*").alias("stations"))
+    return lines.groupBy("level").agg(F.count("*").alias("paths")).join(at, "level", "left").select("level", "paths", F.coalesce("stations", F.lit(0)).alias("stations"))
+
+
 # ---------------------------------------------------------------- flow
 
 
@@ -668,10 +682,12 @@ def text_strokes(spark, sf_dir):
 
 @query()
 def contour_labels(spark, sf_dir):
-    cells = fixtures.synthetic(spark, 60, 60, lambda c, r: 40 - 0.5 * F.hypot(c - 30, r - 30))
-    frame = Frame(60, 60, 2.0, 0.0, 120.0)
-    lines = contours.trace(cells, frame, 2.0, 20.0, 40.0)
-    placed = stored(lettering.place_labels(lines, 2.0, ["level", "path", "closed", "pts"], 2, 2.2, 60), "labels")
+    """Contours of the raster with holes, parted by their labels; labels are small, as its lines are short."""
+    cells = fixtures.holed(spark, sf_dir)
+    lo, hi = cells.agg(F.min("z"), F.max("z")).first()
+    step = scales.nice_step((hi - lo) / 6)
+    lines = contours.trace(cells, fixtures.frame_of(cells, 100), step, lo, hi)
+    placed = stored(lettering.place_labels(lines, step, ["level", "path", "closed", "pts"], 2, 0.2, 20, tracking=0), "labels")
     gapped = paths.gapped(placed, "boxes", ["level"])
     return gapped.groupBy("level").agg(F.count("*").alias("parts"), F.round(F.sum(shapes.path_length(F.col("pts"), F.col("closed"))), 3).alias("length"))
 

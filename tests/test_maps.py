@@ -382,3 +382,39 @@ def test_findings_of_a_clipped_drawing(spark):
     assert missed.n == 0 and "misses" in missed.note
     text = [r.line for r in cutting_report(spark, inputs, spec, lines, rounds).orderBy("part", "ord").collect()]
     assert any(line.startswith("sections, breaks: 3") for line in text) and any(line.startswith("whole drawing") for line in text)
+
+
+def test_hachures_run_down_a_cone(spark):
+    """Ticks begin on their contour, point away from the top, and are as long as the slopes met ask for."""
+    lines = contours.trace(cone(spark), CONE, 4.0, 10.0, 38.0).cache()
+    ticks = paths.hachures(lines, cone(spark), CONE, ["level", "path", "piece"])
+    got = ticks.collect()
+    top = lines.where("level = 38 or level = 36").select(F.explode("pts").alias("p")).agg(F.avg("p.x"), F.avg("p.y")).first()
+    away = lambda x, y: math.hypot(x - top[0], y - top[1])
+    assert got and all(away(t.bx, t.by) > away(t.ax, t.ay) for t in got)
+    long_ = [math.hypot(t.bx - t.ax, t.by - t.ay) for t in got]
+    assert max(long_) <= 2 * CONE.cell + 1e-9 and min(long_) >= 0.7 * CONE.cell - 1e-9
+
+
+def test_numbers_in_order(spark):
+    """Numbers run on through the ranges that the rows are dealt by; an empty table has none."""
+    from maploom.operators.graph import numbered
+
+    keys = random.Random(3).sample(range(10000), 500)
+    rows = spark.createDataFrame([(k, str(k)) for k in keys], "k int, s string")
+    assert [(r.n, r.k) for r in numbered(rows, "n", "k").orderBy("k").collect()] == list(enumerate(sorted(keys), 1))
+    assert numbered(rows.where("k < 0"), "n", "k").count() == 0
+
+
+def test_solid_rows_fill_a_triangle(spark):
+    """Rows stay half a burn inside, no further apart than asked; a sliver gets dots or nothing."""
+    ring = lambda *xy: [(float(x), float(y)) for x, y in xy]
+    rows = spark.createDataFrame([(1, ring((0, 0), (6, 0), (3, 6))), (2, ring((0, 0), (0.2, 0), (0.2, 5), (0, 5))), (3, ring((0, 0), (0.01, 0), (0.01, 5), (0, 5))), (4, None)], f"ord int, pts {shapes.POINTS}")
+    got = {}
+    for r in fills.solid_rows(rows, ["ord"]).orderBy("ord", "row").collect():
+        got.setdefault(r.ord, []).append(r.pts)
+    assert set(got) == {1, 2}
+    ys = [p[0].y for p in got[1]]
+    assert min(ys) == pytest.approx(fills.BURN_MM / 2) and max(b - a for a, b in zip(ys, ys[1:])) <= fills.SOLID_MM + 1e-9
+    assert all(p[0].x >= p[0].y / 2 - 1e-9 and p[1].x <= 6 - p[0].y / 2 + 1e-9 for p in got[1])
+    assert all(p[1].x - p[0].x == pytest.approx(1e-6) for p in got[2])
