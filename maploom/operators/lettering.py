@@ -194,14 +194,29 @@ def place_labels(paths: DataFrame, interval: float, keep: Sequence[str], every:
     return per_path(paths, keep, f"text string, boxes array<{_BOX}>", run)
 
 
-def lettered(texts: DataFrame, keep: Sequence[str], size: float, extra: float, **how) -> DataFrame:
-    """keep, pos, stroke, closed, pts: strokes, or their outlines where the lettering is thickened by 0.3 mm or more."""
+#: A stroke's weight as a share of the lettering's size, and the width that the beam burns by itself, in mm.
+WEIGHT, BURNT_MM = 0.12, 0.3
+
+
+def letter_weight(size: float) -> float:
+    """How much wider than the beam's own line the strokes of a size are; nothing under a second line's width."""
+    extra = size * WEIGHT - BURNT_MM
+    return extra if extra >= BURNT_MM else 0.0
+
+
+def lettered(texts: DataFrame, keep: Sequence[str], size: float, extra: float | None = None, **how) -> DataFrame:
+    """keep, pos, stroke, closed, pts: strokes; those to be wider than the beam's line by 0.3 mm or more, as letter_weight asks
+    for unless extra is given, are outlined as bands and filled."""
+    extra = letter_weight(size) if extra is None else extra
     rows = text_strokes(texts, keep, size, **how)
-    if extra < 0.3:
+    if extra < BURNT_MM:
         return rows.select(*keep, "pos", "stroke", F.lit(False).alias("closed"), "pts")
 
     def run(p, closed, row):
-        for ring, _ in kernels.band(p, extra, False):
+        rings = kernels.band(p, extra, False)
+        for ring, _ in rings:
             yield True, ring
+        for line in kernels.band_fill(p, extra, BURNT_MM, False) if rings else [p]:
+            yield False, line
 
     return per_path(rows, [*keep, "pos", "stroke"], "closed boolean, pts " + shapes.POINTS, run)

@@ -230,7 +230,7 @@ def furniture(spark: SparkSession, s: dict[str, dict], sheet: Sheet) -> list[Dat
         px, py = np.array([x, x + w, x + w, x]) + x0, np.array([y, y, y + h, y + h]) + y0
         return bool(kernels.in_rings(px, py, boundary).all()) if boundary else w <= x1 - x0 and h <= y1 - y0
 
-    inset, strokes, texts = max(s["sheet"]["margin"], 4.0), [], []
+    inset, strokes, solid, texts = max(s["sheet"]["margin"], 4.0), [], [], []
 
     def place(w, h, corner):
         at = drawing.seek(x1 - x0 - 2 * inset, y1 - y0 - 2 * inset, w, h, lambda x, y, a, b: free(x + inset, y + inset, a, b), corner)
@@ -245,20 +245,24 @@ def furniture(spark: SparkSession, s: dict[str, dict], sheet: Sheet) -> list[Dat
         label = g["label_size"]
         if at := place(bar["mm"], 1.8 + 0.6 + label, "sw"):
             left, low = min(x for ring in bar["rings"] for x, _ in ring), min(y for ring in bar["rings"] for _, y in ring)
-            strokes += [[(x - left + at[0], y - low + at[1]) for x, y in ring] for ring in bar["rings"]]
+            # A bar is as long as its number says, so it's filled up to its edges and not outlined.
+            solid += [[(x - left + at[0], y - low + at[1]) for x, y in ring] for ring in bar["rings"]]
             texts.append((bar["label"], at[0], at[1] + 2.4, 0.0, float(label)))
     if g["enabled"] and g["north"]:
         if at := place(10.0, 14.0, "se"):
             n = drawing.north_point(at[0] + 5, at[1] + 5)
             strokes += [n["ring"], n["needle"], n["pivot"]]
+            solid += [n["needle"], n["pivot"]]
             texts.append(("N", at[0] + 5 - lettering.text_size("N", 3.0, 6)[0] / 2, n["label_y"], 0.0, 3.0))
     out = []
+    rows = lambda rings: spark.createDataFrame([(i, [(float(x), float(y)) for x, y in ring]) for i, ring in enumerate(rings)], "n int, pts " + shapes.POINTS)
     if strokes:
-        drawn = spark.createDataFrame([([(float(x), float(y)) for x, y in ring],) for ring in strokes], "pts " + shapes.POINTS).withColumn("closed", F.lit(True))
-        out.append(drawing.as_paths(drawn, g["layer"], "furniture", closed="closed", furniture=True))
+        out.append(drawing.as_paths(rows(strokes), g["layer"], "furniture", closed=True, furniture=True))
+    if solid:
+        out.append(drawing.as_paths(fills.solid_rows(rows(solid), ["n"]), g["layer"], "furniture", furniture=True))
     for size in sorted({t[4] for t in texts}):
-        rows = spark.createDataFrame([(i, *t[:4]) for i, t in enumerate(texts) if t[4] == size], "n int, text string, x double, y double, angle double")
-        out.append(drawing.as_paths(lettering.text_strokes(rows, ["n"], size), g["layer"], "furniture", furniture=True))
+        said = spark.createDataFrame([(i, *t[:4]) for i, t in enumerate(texts) if t[4] == size], "n int, text string, x double, y double, angle double")
+        out.append(drawing.as_paths(lettering.lettered(said, ["n"], size), g["layer"], "furniture", closed="closed", furniture=True))
     return out
 
 

@@ -418,3 +418,17 @@ def test_solid_rows_fill_a_triangle(spark):
     assert min(ys) == pytest.approx(fills.BURN_MM / 2) and max(b - a for a, b in zip(ys, ys[1:])) <= fills.SOLID_MM + 1e-9
     assert all(p[0].x >= p[0].y / 2 - 1e-9 and p[1].x <= 6 - p[0].y / 2 + 1e-9 for p in got[1])
     assert all(p[1].x - p[0].x == pytest.approx(1e-6) for p in got[2])
+
+
+def test_weight_of_lettering_and_solid_furniture(spark):
+    """Small lettering is the beam's own line; from 5 mm on strokes are bands, filled. A scale bar's ink ends where it ends."""
+    from maploom.plans.compile import furniture
+
+    text = spark.createDataFrame([(1, "L", 0.0, 0.0, 0.0)], "n int, text string, x double, y double, angle double")
+    small, large = (lettering.lettered(text, ["n"], size).collect() for size in (3.2, 10.0))
+    assert lettering.letter_weight(4.9) == 0 and lettering.letter_weight(5.0) == pytest.approx(0.3)
+    assert not any(r.closed for r in small) and any(r.closed for r in large) and any(not r.closed for r in large)
+    sheet = Sheet(Frame(100, 100, 1.0, 0.0, 100.0), 500)
+    bar = furniture(spark, merged({"furniture": {"enabled": True, "north": False}}), sheet)[0].collect()
+    xs = [p.x for r in bar for p in r.pts]
+    assert max(xs) - min(xs) == pytest.approx(40 - fills.BURN_MM) and not any(r.closed for r in bar)
