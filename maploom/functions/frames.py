@@ -66,6 +66,11 @@ class Frame:
 SCALES = (20, 50, 100, 200, 250, 500, 1000, 2000, 2500, 5000, 10000)
 
 
+def stretched(frame: Frame, width: int, height: int) -> Frame:
+    """The frame of an image without a place of its own: laid over a raster from its north-west corner, as wide as that is."""
+    return Frame(height, width, frame.width / width, frame.origin_x, frame.origin_y, frame.crs)
+
+
 @dataclass(frozen=True)
 class Sheet:
     """Map units to millimetres on a sheet, y upwards."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maploom.functions import shapes
 from maploom.functions.colour import SHEET_PASS, refuse_restricted
-from maploom.functions.frames import Frame, Sheet
+from maploom.functions.frames import Frame, Sheet, stretched
 from maploom.functions.scales import angle_value, nice_interval, scale_value
 from maploom.operators import contours, drawing, features, fills, focal, flow, kernels, lettering, paths, regions, sampling, symbols
 from maploom.plans.storage import stored
@@ -46,7 +46,8 @@ def merged(spec: dict | None) -> dict[str, dict]:
 @dataclass
 class Inputs:
     """Cells of the first raster with their frame; the rest is optional. Features are layers of (kind, rings or points, style);
-    other is a raster on the same grid, which the source "difference" takes the first one from."""
+    other is a raster on the same grid, which the source "difference" takes the first one from. An image without a frame is stretched
+    over the raster."""
 
     cells: DataFrame
     frame: Frame
@@ -55,6 +56,10 @@ class Inputs:
     image_size: tuple[int, int] = (0, 0)
     layers: list[dict] = field(default_factory=list)
     other: DataFrame | None = None
+    image_frame: Frame | None = None
+
+    def image_at(self) -> Frame:
+        return self.image_frame or stretched(self.frame, *self.image_size)
 
 
 def resolve(source: str, inputs: Inputs) -> DataFrame:
@@ -119,7 +124,7 @@ def assembled(spark: SparkSession, inputs: Inputs, spec: dict | None = None, exp
     if h["enabled"] and inputs.pixels is not None:
         if export:
             refuse_restricted(h["licence"])
-        dots = on_paper(symbols.halftone(inputs.pixels, *inputs.image_size, f, h["across"], (h["channel"],)))
+        dots = on_paper(symbols.halftone(inputs.pixels, *inputs.image_size, inputs.image_at(), h["across"], (h["channel"],)))
         rounds.append(drawing.as_circles(dots.where(F.col("radius") >= h["min_radius_mm"]), h["layer"], "halftone"))
 
     c = s["contours"]

@@ -36,7 +36,7 @@ def findings(spark: SparkSession, inputs: Inputs, spec: dict | None = None) -> D
 
     h = s["halftone"]
     if h["enabled"] and inputs.pixels is not None:
-        dots = symbols.halftone(inputs.pixels, *inputs.image_size, f, h["across"], (h["channel"],))
+        dots = symbols.halftone(inputs.pixels, *inputs.image_size, inputs.image_at(), h["across"], (h["channel"],))
         drawn = F.col("radius") * sheet.mm_per_unit >= h["min_radius_mm"]
         marks, verdict = budget(F.lit(h["across"]), F.lit(inputs.image_size[1] / inputs.image_size[0]))
         out.append(_rows(dots.agg(F.count_if(drawn).alias("marks"), F.count_if(~drawn).alias("too small")).withColumn("budget", marks), "halftone", {"budget": verdict}))

@@ -980,3 +980,11 @@ def driven_symbols(spark, sf_dir):
     drawn = feature_paths(spark, {"kind": "point", "rows": rows, "attributes": fixtures.trees(spark, sf_dir).select("ord", "dbh"), "style": style}, Sheet(_FRAME, 1000))[0]
     b = shapes.bbox(F.col("pts"))
     return drawn.select(F.round((b["x1"] - b["x0"]) / 2, 5).alias("radius")).groupBy("radius").agg(F.count("*").alias("n"))
+
+
+@query(with_views("image") + " select y, x, round(654000 + (x + 0.5) * 2, 6)::double easting, round(7738000 - (y + 0.5) * 2, 6)::double northing from image")
+def stretched_pixels(spark, sf_dir):
+    """An image of 50 columns laid over a raster of 100."""
+    px = fixtures.image(spark, sf_dir)
+    at = frames.stretched(_FRAME, 50, 1 + px.agg(F.max("y")).first()[0])
+    return px.select("y", "x", r6(at.easting(F.col("x")), "easting"), r6(at.northing(F.col("y")), "northing"))

@@ -420,6 +420,17 @@ def test_solid_rows_fill_a_triangle(spark):
     assert all(p[1].x - p[0].x == pytest.approx(1e-6) for p in got[2])
 
 
+def test_plain_images_cover_the_raster(spark):
+    """Halftone marks of an image without a frame reach over the whole sheet, whatever its resolution."""
+    image = spark.range(400).select((F.col("id") % 20).alias("x"), F.floor(F.col("id") / 20).alias("y"), F.lit(10).alias("red"), F.lit(20).alias("green"), F.lit(30).alias("blue"))
+    frame = Frame(60, 60, 1.0, 0.0, 60.0)
+    inputs = Inputs(synthetic(spark, 60, 60, lambda c, r: c), frame, pixels=image, image_size=(20, 20))
+    _, c, sheet = compile_drawing(spark, inputs, {"contours": {"enabled": False}, "halftone": {"enabled": True, "across": 20, "licence": "own"}})
+    x0, x1, y0, y1 = c.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    half = sheet.width / 40
+    assert (x0, x1, y0, y1) == pytest.approx((half, sheet.width - half, half, sheet.height - half))
+
+
 def test_weight_of_lettering_and_solid_furniture(spark):
     """Small lettering is the beam's own line; from 5 mm on strokes are bands, filled. A scale bar's ink ends where it ends."""
     from maploom.plans.compile import furniture
