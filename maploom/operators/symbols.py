@@ -87,7 +87,8 @@ def hatch_field(cells: DataFrame, frame: Frame, lo: float, hi: float, spacing: f
     """line, t, ax, ay, bx, by: ink along parallel scanlines that are fixed in the world.
 
     Each step of a line is inked in proportion to the cell under its middle; steps of at least 98 % run together into
-    one mark. Steps over unmeasured cells or below floor have none. Marks are cut at the extent; short ones go.
+    one mark. Steps over unmeasured cells or below floor have none. Marks are cut at the extent; short ones go. A line is
+    looked at where it meets the extent and two or three steps beyond, so steps grow with the cells; t is where a mark begins before it is cut.
     """
     spacing = spacing if spacing and spacing > 0 else frame.cell * 4
     step = step if step and step > 0 else spacing
@@ -101,12 +102,18 @@ def hatch_field(cells: DataFrame, frame: Frame, lo: float, hi: float, spacing: f
     steps = max(0, math.ceil((max(t_all) + step - t0) / step))
     spark = cells.sparkSession
     lines = spark.range(k0, k1 + 1).select(F.col("id").alias("line"), (F.col("id") * spacing).alias("s"))
-    rows = lines.select("line", "s", F.explode(F.sequence(F.lit(0), F.lit(max(0, steps - 1)))).alias("j")).withColumn("t", F.lit(t0) + F.col("j") * step)
+    ends = [F.col("s") * n + t * u for t in (t0, t0 + steps * step) for n, u in ((nx, ux), (ny, uy))]
+    near = shapes.clipped_segment(*ends, frame.origin_x - step, frame.south - step, frame.east + step, frame.origin_y + step)
+    lines = lines.withColumn("near", near).where("near is not null")
+    first, last = F.floor(F.col("near.t0") * steps) - 1, F.ceil(F.col("near.t1") * steps)
+    every = F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(steps - 1)).cast("int"))
+    rows = lines.select("line", "s", F.explode(every).alias("j")).withColumn("t", F.lit(t0) + F.col("j") * step)
     mid = F.col("t") + step / 2
     x, y = F.col("s") * nx + mid * ux, F.col("s") * ny + mid * uy
     gx, gy = frame.to_grid(x, y)
     into = lambda v, n: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(n - 1)).cast("int")
-    rows = rows.withColumn("r", into(gy, frame.nrows)).withColumn("c", into(gx, frame.ncols)).join(cells.select("r", "c", "z"), ["r", "c"], "left")
+    # Spark takes the steps to be as few as the lines, and would broadcast them.
+    rows = rows.withColumn("r", into(gy, frame.nrows)).withColumn("c", into(gx, frame.ncols)).join(cells.select("r", "c", "z").hint("merge"), ["r", "c"], "left")
     d = F.lit(1.0) if hi <= lo else clamp01((F.col("z").cast("double") - lo) / (hi - lo))
     d = 1 - d if invert else d
     ok = F.col("z").isNotNull() if floor is None else F.col("z").isNotNull() & (F.col("z") >= floor)

@@ -443,3 +443,44 @@ def test_weight_of_lettering_and_solid_furniture(spark):
     bar = furniture(spark, merged({"furniture": {"enabled": True, "north": False}}), sheet)[0].collect()
     xs = [p.x for r in bar for p in r.pts]
     assert max(xs) - min(xs) == pytest.approx(40 - fills.BURN_MM) and not any(r.closed for r in bar)
+
+
+def test_hatching_of_a_long_raster(spark):
+    """A turned line is walked near the extent only, its steps are not broadcast, and the marks are those of a walk along whole lines."""
+    nrows, ncols, spacing, step, turn = 300, 6, 3.0, 2.0, math.radians(45)
+    z = lambda c, r: F.when((c + r) % 11 == 3, None).otherwise((c * 7 + r * 3) % 20 / 18)
+    frame = Frame(nrows, ncols)
+    got = symbols.hatch_field(synthetic(spark, nrows, ncols, z), frame, 0, 1, spacing, step, 45, 0.2)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    ux, uy = math.cos(turn), math.sin(turn)
+    corners = [(x, y) for x in (0, ncols) for y in (0, nrows)]
+    s_all, t_all = [y * ux - x * uy for x, y in corners], [x * ux + y * uy for x, y in corners]
+    want = []
+
+    def emit(s, a, b):
+        # Where the line is inside both ways.
+        lo = max(a, s * uy / ux, -s * ux / uy)
+        hi = min(b, (ncols + s * uy) / ux, (nrows - s * ux) / uy)
+        if b - a >= 0.2 and hi - lo >= 0.2:
+            want.append((round(s * ux + lo * uy, 4), round(hi - lo, 4)))
+
+    for k in range(math.ceil(min(s_all) / spacing) - 1, math.floor(max(s_all) / spacing) + 2):
+        s, start = k * spacing, None
+        t = math.floor(min(t_all) / step) * step - step
+        while t < max(t_all) + step:
+            x, y = (t + step / 2) * ux - s * uy, (t + step / 2) * uy + s * ux
+            c, r = min(max(math.floor(x), 0), ncols - 1), min(max(math.floor(nrows - y), 0), nrows - 1)
+            d = None if (c + r) % 11 == 3 else min((c * 7 + r * 3) % 20 / 18, 1)
+            if d is not None and d >= 0.98:
+                start = t if start is None else start
+            else:
+                if start is not None:
+                    emit(s, start, t)
+                start = None
+                if d:
+                    emit(s, t + step / 2 - d * step / 2, t + step / 2 + d * step / 2)
+            t += step
+        if start is not None:
+            emit(s, start, t)
+    have = [(round(r.ay, 4), round(math.hypot(r.bx - r.ax, r.by - r.ay), 4)) for r in got.collect()]
+    assert len(want) > 200 and np.array(sorted(have)) == pytest.approx(np.array(sorted(want)), abs=2e-4)
