@@ -152,7 +152,9 @@ def halftone(pixels: DataFrame, width: int, height: int, frame: Frame, across: f
     place = Frame(max(1, height // step), max(1, width // step), frame.cell * step, frame.origin_x, frame.origin_y)
     out = None
     for name, share in zip(channels, (1, 0.66, 0.36), strict=False):
-        one = symbol_field(grid.select("r", "c", F.col(name).alias("z")), place, 1, threshold, min_fraction, max_fraction * share, 0, 1, invert).select(F.lit(name).alias("channel"), "*")
+        # 0.342 and not 0.34199999999999997, which puts radii on the wrong side of a rounding.
+        most = round(max_fraction * share, 12)
+        one = symbol_field(grid.select("r", "c", F.col(name).alias("z")), place, 1, threshold, min_fraction, most, 0, 1, invert).select(F.lit(name).alias("channel"), "*")
         out = one if out is None else out.unionByName(one)
     return out
 

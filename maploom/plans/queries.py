@@ -322,6 +322,11 @@ def sections(spark, sf_dir):
     return got.groupBy("section", "label").agg(F.count("v").alias("n"), F.round(F.min("lo"), 4).alias("lo"), F.round(F.min("hi"), 4).alias("hi"), F.round(F.min("exaggeration"), 3).alias("exaggeration"))
 
 
+def _pairs(width: int, height: int) -> float:
+    """How many blocks of 2 x 2 pixels, as in the SQL, lie along the longer side of an image, which is where the operators count them."""
+    return max(width, height) / 2
+
+
 @query(with_views("image") + """ , b as (select (y // 2)::int r, (x // 2)::int c, avg(red) red, avg(green) green, avg(blue) blue from image where y < (select (max(y) + 1) // 2 * 2 from image) and x < 50 group by 1, 2) select r, c, round((0.2126 * red + 0.7152 * green + 0.0722 * blue) / 255, 6) luminance, round(greatest(red, green, blue) / 255, 6) brightness from b""")
 def block_means(spark, sf_dir):
     px = fixtures.image(spark, sf_dir)
@@ -337,8 +342,9 @@ _HALFTONE = """, b as (select (y // 2)::int r, (x // 2)::int c, avg(red) red, av
 def triple_halftone(spark, sf_dir):
     px = fixtures.image(spark, sf_dir)
     h = px.agg(F.max("y")).first()[0] + 1
-    got = symbols.halftone(px, 50, h, Frame(h, 50, 1.0, WEST, NORTH), 25, ("greenness", "brightness", "saturation"))
-    return got.select("channel", "r", "c", "x", "y", r6("radius", "radius"))
+    got = symbols.halftone(px, 50, h, Frame(h, 50, 1.0, WEST, NORTH), _pairs(50, h), ("greenness", "brightness", "saturation"))
+    # Rounded as SQL does it, in binary: a share of colour is often half a unit of the last place, where Spark's decimal rounding may go the other way.
+    return got.select("channel", "r", "c", "x", "y", (F.round(F.col("radius") * 1e6, 0) / 1e6).alias("radius"))
 
 
 @query(with_views("image") + " select y, x, round(round_even((0.2126 * red + 0.7152 * green + 0.0722 * blue) / 255::double * 255, 0))::int grey from image")
