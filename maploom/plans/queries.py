@@ -331,7 +331,7 @@ def _pairs(width: int, height: int) -> float:
 def block_means(spark, sf_dir):
     px = fixtures.image(spark, sf_dir)
     h = px.agg(F.max("y")).first()[0] + 1
-    return symbols.block_channel(px, 50, h, 25, ("luminance", "brightness")).select("r", "c", r6("luminance", "luminance"), r6("brightness", "brightness"))
+    return symbols.block_channel(px, 50, h, _pairs(50, h), ("luminance", "brightness")).select("r", "c", r6("luminance", "luminance"), r6("brightness", "brightness"))
 
 
 _HALFTONE = """, b as (select (y // 2)::int r, (x // 2)::int c, avg(red) red, avg(green) green, avg(blue) blue from image where y < (select (max(y) + 1) // 2 * 2 from image) and x < 50 group by 1, 2),

@@ -1,7 +1,5 @@
 """Queries against their SQL where the smallest tables don't tell them apart."""
 
-import os
-
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -30,3 +28,10 @@ def test_halftone_of_a_high_image(spark, tmp_path):
     """400 rows of 50 pixels: blocks stay 2 x 2, and radii that are half a unit of the sixth place round as in SQL."""
     parts(tmp_path, 20000, lambda k: 8 if k % 3 else k // 7 % 50 + 1)
     assert differing(spark, tmp_path, "triple_halftone", ["part"]) == (set(), set())
+
+
+@pytest.mark.parametrize("n", [2000, 3140, 5049])
+def test_block_means_of_a_high_image(spark, tmp_path, n):
+    """Blocks stay 2 x 2 whatever the height; an odd last row of pixels goes."""
+    parts(tmp_path, n)
+    assert differing(spark, tmp_path, "block_means", ["part"]) == (set(), set())
