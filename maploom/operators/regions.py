@@ -34,18 +34,18 @@ def label_cells(cells: DataFrame, threshold: float, ncols: int) -> DataFrame:
 
 
 def regions(cells: DataFrame, frame: Frame, threshold: float, min_area: float = 0) -> DataFrame:
-    """n, region, cells, area, mean, max, x, y: one row a region, numbered in reading order; x, y is the cell with the
-    greatest value, of equal ones the first in reading order. Regions of fewer cells than min_area asks for are left out."""
+    """n, region, cells, area, total, mean, max, x, y: one row a region, numbered in reading order; total is the sum of its values,
+    x, y the cell with the greatest value, of equal ones the first in reading order. Regions of fewer cells than min_area asks for are left out."""
     least = max(1, int(min_area / frame.cell**2 + 0.5))
     number = F.col("r").cast("long") * frame.ncols + F.col("c")
     best = F.max_by(F.struct("r", "c"), F.struct(F.col("z"), -number))
-    by = label_cells(cells, threshold, frame.ncols).groupBy("region").agg(F.count("*").alias("cells"), F.avg("z").alias("mean"), F.max("z").alias("max"), best.alias("at")).where(F.col("cells") >= least)
-    return numbered(by, "n", "region").select("n", "region", "cells", (F.col("cells") * frame.cell**2).alias("area"), "mean", "max", frame.easting(F.col("at.c")).alias("x"), frame.northing(F.col("at.r")).alias("y"))
+    by = label_cells(cells, threshold, frame.ncols).groupBy("region").agg(F.count("*").alias("cells"), F.sum(F.col("z").cast("double")).alias("total"), F.avg("z").alias("mean"), F.max("z").alias("max"), best.alias("at")).where(F.col("cells") >= least)
+    return numbered(by, "n", "region").select("n", "region", "cells", (F.col("cells") * frame.cell**2).alias("area"), "total", "mean", "max", frame.easting(F.col("at.c")).alias("x"), frame.northing(F.col("at.r")).alias("y"))
 
 
 def region_summary(found: DataFrame) -> DataFrame:
-    """regions, area, and the mean weighted by cells."""
-    return found.agg(F.count("*").alias("regions"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"), (F.sum(F.col("mean") * F.col("cells")) / F.sum("cells")).alias("mean"))
+    """regions, area, and the mean of all their cells; sums of single-precision values are exact in any order, products with means are not."""
+    return found.agg(F.count("*").alias("regions"), F.coalesce(F.sum("area"), F.lit(0.0)).alias("area"), (F.sum("total") / F.sum("cells")).alias("mean"))
 
 
 def region_rings(cells: DataFrame, frame: Frame, threshold: float, min_area: float = 0) -> DataFrame:

@@ -469,10 +469,14 @@ _REGIONS = """, b as (select r * 64 + c i, r, c, z from noise where z > 0.15), e
  select root::bigint region, count(*) cells, round(avg(z::double), 6) mean, round(max(z)::double, 6) as "max" from g join b using (i) group by root"""
 
 
+#: SQL compares a FLOAT with 0.15 in single precision, where a cell of that value isn't above it; the operators compare in double.
+_ABOVE = float(np.float32(0.15))
+
+
 @query(with_views("noise").replace("with ", "with recursive ", 1) + _REGIONS)
 def region_figures(spark, sf_dir):
     cells = fixtures.noise(spark, sf_dir)
-    got = regions.regions(cells, fixtures.frame_of(cells, 64), 0.15)
+    got = regions.regions(cells, fixtures.frame_of(cells, 64), _ABOVE)
     return got.select("region", "cells", r6("mean", "mean"), r6(F.col("max").cast("double"), "max"))
 
 
@@ -480,7 +484,7 @@ def region_figures(spark, sf_dir):
 def region_summary(spark, sf_dir):
     """All regions' cells together are the cells above the threshold; their weighted mean is the mean."""
     cells = fixtures.noise(spark, sf_dir)
-    got = regions.region_summary(regions.regions(cells, fixtures.frame_of(cells, 64), 0.15))
+    got = regions.region_summary(regions.regions(cells, fixtures.frame_of(cells, 64), _ABOVE))
     return got.select(F.col("area").cast("long").alias("cells"), F.round(F.col("mean") * F.col("area"), 4).alias("total"))
 
 

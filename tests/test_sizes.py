@@ -35,3 +35,11 @@ def test_block_means_of_a_high_image(spark, tmp_path, n):
     """Blocks stay 2 x 2 whatever the height; an odd last row of pixels goes."""
     parts(tmp_path, n)
     assert differing(spark, tmp_path, "block_means", ["part"]) == (set(), set())
+
+
+@pytest.mark.parametrize("name", ["region_summary", "region_figures"])
+def test_cells_at_the_threshold(spark, tmp_path, name):
+    """0.15 in single precision is more than 0.15, but SQL compares it in single precision: such cells are not above."""
+    rows = [[0.15 if (r * 64 + c) % 7 == 0 else (r * 5 + c * 3) % 16 / 40 for c in range(64)] for r in range(12)]
+    pq.write_table(pa.table({"vec_id": pa.array(range(12), pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    assert differing(spark, tmp_path, name, ["embeddings"]) == (set(), set())
