@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from maploom.functions import shapes
 from maploom.functions.colour import CHANNELS
 from maploom.functions.frames import Frame
 from maploom.functions.scales import clamp01, nice_step
@@ -88,7 +87,7 @@ def hatch_field(cells: DataFrame, frame: Frame, lo: float, hi: float, spacing: f
 
     Each step of a line is inked in proportion to the cell under its middle; steps of at least 98 % run together into
     one mark. Steps over unmeasured cells or below floor have none. Marks are cut at the extent; short ones go. A line is
-    looked at where it meets the extent and two or three steps beyond, so steps grow with the cells; t is where a mark begins before it is cut.
+    looked at where it meets the extent and two steps beyond, so steps grow with the cells; t is where a mark begins before it is cut.
     """
     spacing = spacing if spacing and spacing > 0 else frame.cell * 4
     step = step if step and step > 0 else spacing
@@ -102,12 +101,18 @@ def hatch_field(cells: DataFrame, frame: Frame, lo: float, hi: float, spacing: f
     steps = max(0, math.ceil((max(t_all) + step - t0) / step))
     spark = cells.sparkSession
     lines = spark.range(k0, k1 + 1).select(F.col("id").alias("line"), (F.col("id") * spacing).alias("s"))
-    ends = [F.col("s") * n + t * u for t in (t0, t0 + steps * step) for n, u in ((nx, ux), (ny, uy))]
-    near = shapes.clipped_segment(*ends, frame.origin_x - step, frame.south - step, frame.east + step, frame.origin_y + step)
-    lines = lines.withColumn("near", near).where("near is not null")
-    first, last = F.floor(F.col("near.t0") * steps) - 1, F.ceil(F.col("near.t1") * steps)
+    # From where to where along it a line is inside.
+    starts, stops = [F.lit(t0)], [F.lit(t0 + steps * step)]
+    for n, u, low, high in ((nx, ux, frame.origin_x, frame.east), (ny, uy, frame.south, frame.origin_y)):
+        if u:
+            starts.append(((low if u > 0 else high) - F.col("s") * n) / u)
+            stops.append(((high if u > 0 else low) - F.col("s") * n) / u)
+        else:
+            lines = lines.where((F.col("s") * n).between(low, high))
+    lines = lines.withColumn("start", F.greatest(*starts)).withColumn("stop", F.least(*stops)).where("start <= stop")
+    first, last = F.floor((F.col("start") - t0) / step) - 2, F.floor((F.col("stop") - t0) / step) + 2
     every = F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(steps - 1)).cast("int"))
-    rows = lines.select("line", "s", F.explode(every).alias("j")).withColumn("t", F.lit(t0) + F.col("j") * step)
+    rows = lines.select("line", "s", "start", "stop", F.explode(every).alias("j")).withColumn("t", F.lit(t0) + F.col("j") * step)
     mid = F.col("t") + step / 2
     x, y = F.col("s") * nx + mid * ux, F.col("s") * ny + mid * uy
     gx, gy = frame.to_grid(x, y)
@@ -122,13 +127,13 @@ def hatch_field(cells: DataFrame, frame: Frame, lo: float, hi: float, spacing: f
     order = Window.partitionBy("line").orderBy("j")
     rows = rows.withColumn("full", F.coalesce(full, F.lit(False)))
     rows = rows.withColumn("run", F.sum(F.when(F.col("full") & ~F.coalesce(F.lag("full").over(order), F.lit(False)), 1).otherwise(0)).over(order))
-    long_ = rows.where("full").groupBy("line", "s", "run").agg(F.min("t").alias("a"), (F.max("t") + step).alias("b")).drop("run")
-    short = rows.where(~F.col("full") & (F.col("d") > 0)).select("line", "s", (mid - F.col("d") * step / 2).alias("a"), (mid + F.col("d") * step / 2).alias("b"))
+    long_ = rows.where("full").groupBy("line", "s", "start", "stop", "run").agg(F.min("t").alias("a"), (F.max("t") + step).alias("b")).drop("run")
+    short = rows.where(~F.col("full") & (F.col("d") > 0)).select("line", "s", "start", "stop", (mid - F.col("d") * step / 2).alias("a"), (mid + F.col("d") * step / 2).alias("b"))
     marks = long_.unionByName(short).where(F.col("b") - F.col("a") >= min_mark)
     at = lambda t: (F.col("s") * nx + F.col(t) * ux, F.col("s") * ny + F.col(t) * uy)
-    cut = shapes.clipped_segment(*at("a"), *at("b"), frame.origin_x, frame.south, frame.east, frame.origin_y)
-    marks = marks.select("line", F.col("a").alias("t"), cut.alias("m")).where("m is not null").select("line", "t", "m.ax", "m.ay", "m.bx", "m.by")
-    return marks.where(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) >= min_mark)
+    marks = marks.select("line", "s", F.col("a").alias("t"), F.greatest("a", "start").alias("a"), F.least("b", "stop").alias("b")).where(F.col("b") - F.col("a") >= max(min_mark, 0))
+    (ax, ay), (bx, by) = at("a"), at("b")
+    return marks.select("line", "t", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
 
 
 def block_step(width: int, height: int, across: float) -> int:

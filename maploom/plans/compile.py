@@ -90,7 +90,7 @@ def _segment(sheet: Sheet):
 
 
 def compile_drawing(spark: SparkSession, inputs: Inputs, spec: dict | None = None, export: bool = False) -> tuple[DataFrame, DataFrame, Sheet]:
-    """(paths, circles, sheet) in sheet mm, lazily: nothing that isn't switched on is planned, and clipping comes last,
+    """(paths, circles, sheet) in sheet mm: nothing that isn't switched on is planned, and clipping comes last,
     after everything that looks at a whole raster or places a pattern in the world."""
     lines, rounds, sheet = assembled(spark, inputs, spec, export)
     if boundary := clip_rings(merged(spec), sheet):
@@ -164,7 +164,7 @@ def assembled(spark: SparkSession, inputs: Inputs, spec: dict | None = None, exp
         raise ValueError(f"regions are an overlay or a window, not {r['mode']}")
     if r["enabled"]:
         surface = resolve(r["source"], inputs)
-        rings = regions.region_rings(surface, f, r["threshold"], r["min_area"]).select(_mm(sheet).alias("pts")).withColumn("closed", F.lit(True))
+        rings = stored(regions.region_rings(surface, f, r["threshold"], r["min_area"]).select(_mm(sheet).alias("pts")).withColumn("closed", F.lit(True)), "rings")
         piece = r["sheet"] if r["mode"] == "overlay" else None
         lines.append(drawing.as_paths(rings, r["layer"], "regions", piece, "closed"))
         if piece and r["guide"]:
@@ -184,7 +184,7 @@ def assembled(spark: SparkSession, inputs: Inputs, spec: dict | None = None, exp
 
     t = s["hatch"]
     if t["enabled"]:
-        surface = resolve(t["source"], inputs)
+        surface = stored(resolve(t["source"], inputs), "surface")
         lo, hi = surface.agg(F.min("z"), F.max("z")).first()
         if lo is not None:
             marks = symbols.hatch_field(surface, f, lo, hi, t["spacing"], None, t["angle_deg"], 0.4 / sheet.mm_per_unit)
@@ -213,6 +213,8 @@ def assembled(spark: SparkSession, inputs: Inputs, spec: dict | None = None, exp
         lines += [drawing.as_paths(edge, SHEET_PASS, "frame", name, "closed", True) for name in below]
     lines += furniture(spark, s, sheet)
 
+    # Written stage by stage: the driver plans, compiles and runs one at a time, and not all of a drawing's in one query.
+    lines, rounds = [stored(x, "lines") for x in lines], [stored(x, "rounds") for x in rounds]
     empty = lambda schema: spark.createDataFrame([], schema)
     all_lines = reduce(DataFrame.unionByName, lines) if lines else empty(drawing.PATHS)
     all_rounds = reduce(DataFrame.unionByName, rounds) if rounds else empty(drawing.CIRCLES)
